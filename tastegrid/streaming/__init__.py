@@ -1,0 +1,5 @@
+"""Batch only: the engine has no stream operators (see README, "Scope").
+
+The row-wise operators (cleaning, rating parsing, context text) are plain
+column expressions and can be applied to a streaming DataFrame unchanged.
+"""
