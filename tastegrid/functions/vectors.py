@@ -21,10 +21,18 @@ def as_double(a: Column) -> Column:
     return a.cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``; an expression captured by a lambda
+    would be evaluated again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
     """Scale to length 1; a zero vector stays zero."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda v: v / length)).otherwise(a)
+    def scaled(x: Column) -> Column:
+        return let(norm(x), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n)).otherwise(x))
+
+    return let(a, scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -34,8 +42,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def centered(a: Column) -> Column:
     """Subtract the vector's own mean, so that cosine of the result is Pearson."""
-    mean = total(a) / F.size(a)
-    return F.transform(a, lambda v: v - mean)
+    return let(a, lambda x: let(
+        total(x) / F.size(x), lambda m: F.transform(x, lambda v: v - m)
+    ))
 
 
 def positive_mask(a: Column) -> Column:

@@ -118,8 +118,8 @@ def percentile_rank(df: DataFrame, value: str, bins: int = 256) -> DataFrame:
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
     marks = [i / bins for i in range(1, bins)]
-    borders = counts.agg(F.percentile_approx(value, marks).alias("v")).scalar()
-    bin_no = F.size(F.filter(borders, lambda b: b <= F.col(value)))
+    borders = counts.agg(F.percentile_approx(value, marks)).first()[0] or []
+    bin_no = F.size(F.filter(F.lit(borders), lambda b: b <= F.col(value)))
     binned = counts.withColumn("_bin", bin_no)
     per_bin = binned.groupBy("_bin").agg(F.sum("_c").alias("_b"))
     shift = per_bin.select(
