@@ -24,7 +24,7 @@ def as_double(a: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body``; an expression captured by a lambda
     would be evaluated again for every element."""
-    return F.transform(F.array(value), body)[0]
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def unit(a: Column) -> Column:
