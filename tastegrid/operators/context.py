@@ -128,7 +128,7 @@ def grouped_by_neighbor(similar: DataFrame, roles: Roles = DEFAULT) -> DataFrame
     blocks = bullets(similar, [roles.user, "neighbor", "rn", "sim"], ["rank"], line, "_block")
     head = F.concat(
         F.lit("+ User "), F.col("neighbor").cast("string"), F.lit(" (similarity "),
-        F.col("sim").cast("string"), F.lit("):\n"), F.col("_block"),
+        F.format_string("%.6f", "sim"), F.lit("):\n"), F.col("_block"),
     )
     return bullets(blocks, [roles.user], ["rn"], head, "context")
 

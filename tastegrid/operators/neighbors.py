@@ -147,7 +147,7 @@ def conflicts(ratings: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """Items that a user's neighbours rated differently. Input: neighbor_ratings rows."""
     said = F.concat_ws(
         "=", F.col("neighbor").cast("string"), F.col(roles.rating).cast("string"),
-        F.col("sim").cast("string"),
+        F.format_string("%.6f", "sim"),
     )
     # at most one entry per neighbour of the user
     return (

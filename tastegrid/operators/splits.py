@@ -200,12 +200,16 @@ def restrict_by_popularity(
 
 
 def history(
-    df: DataFrame, roles: Roles = DEFAULT, k: int = MAIN_USER_RATINGS, seed: int = SEED
+    df: DataFrame, roles: Roles = DEFAULT, k: int = MAIN_USER_RATINGS, seed: int = SEED,
+    complete: bool = True,
 ) -> DataFrame:
-    """k sampled rows per user, numbered ``rn``; users with fewer than k rows are left out."""
+    """k sampled rows per user, numbered ``rn``. Users with fewer than k rows are left
+    out, or with ``complete=False`` keep all they have."""
     picked = R.top_k(
         df.withColumn("_h", md5_key(*roles.key, seed=seed)), [roles.user], [F.col("_h")], k
     ).drop("_h")
+    if not complete:
+        return picked
     most = F.max("rn").over(W.partitionBy(roles.user))  # at most k rows per user here
     return picked.withColumn("_m", most).filter(F.col("_m") == k).drop("_m")
 
