@@ -161,11 +161,13 @@ def corated_items(
 
 
 def symmetrized(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge."""
-    back = edges.select(
-        F.col("b").alias("a"), F.col("a").alias("b"), *[c for c in edges.columns if c not in "ab"]
+    """Both directions of every edge, from one pass over the edges."""
+    rest = [F.col(c) for c in edges.columns if c not in ("a", "b")]
+    both = F.array(
+        F.struct(F.col("a"), F.col("b"), *rest),
+        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), *rest),
     )
-    return edges.unionByName(back)
+    return edges.select(F.inline(both))
 
 
 def top_neighbors(edges: DataFrame, k: int, min_sim: float | None = None) -> DataFrame:

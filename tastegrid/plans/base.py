@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastegrid.operators import similarity as S, splits as P
+from tastegrid.session import stage
 from tastegrid.sources import tables as T
 
 ITEM_NEIGHBORS = 20
@@ -13,8 +14,14 @@ USER_NEIGHBORS = 20
 
 # --- DataFrames ------------------------------------------------------------------
 
+def ratings(spark: SparkSession, d: str) -> DataFrame:
+    """The rating table, staged because several steps of a query read it."""
+    return stage(T.ratings(spark, d), "ratings")
+
+
 def sequential(spark: SparkSession, d: str) -> DataFrame:
-    return P.split_sequential(T.titled_ratings(spark, d))
+    """Time split of the rating table, staged for its train and test readers."""
+    return stage(P.split_sequential(stage(T.titled_ratings(spark, d), "titled")), "sequential")
 
 
 def side(split: DataFrame, name: str) -> DataFrame:

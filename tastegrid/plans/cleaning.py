@@ -9,7 +9,7 @@ from tastegrid.functions import parsing as G, text as X
 from tastegrid.functions.hashing import md5_key, md5_unit
 from tastegrid.operators import cleaning as L, splits as P
 from tastegrid.plans.base import RAW, RATINGS, TITLED, UI, digest, digest_int, r6
-from tastegrid.session import fresh_path
+from tastegrid.session import fresh_path, stage
 from tastegrid.sources import readers as I, tables as T, writers as O
 
 QUERIES, ORACLES = {}, {}
@@ -397,11 +397,11 @@ POPULAR = f"""pop AS (SELECT item_id, n_ratings FROM (
 
 @query(f"WITH {RATINGS}, {POPULAR} SELECT user_id, item_id, rating FROM ratings WHERE item_id IN (SELECT item_id FROM pop)")
 def semi_popular(spark, d):
-    r = T.ratings(spark, d).select("user_id", "item_id", "rating")
+    r = stage(T.ratings(spark, d).select("user_id", "item_id", "rating"), "ratings")
     return r.join(P.popular_items(r).select("item_id"), "item_id", "left_semi")
 
 
 @query(f"WITH {RATINGS}, {POPULAR} SELECT user_id, item_id, rating FROM ratings WHERE item_id NOT IN (SELECT item_id FROM pop)")
 def anti_popular(spark, d):
-    r = T.ratings(spark, d).select("user_id", "item_id", "rating")
+    r = stage(T.ratings(spark, d).select("user_id", "item_id", "rating"), "ratings")
     return r.join(P.popular_items(r).select("item_id"), "item_id", "left_anti")

@@ -11,10 +11,11 @@ from tastegrid.operators import (
 )
 from tastegrid.plans.base import (
     DRAWN, LOO, RATINGS, SEQ, TITLED, UI, USER_NEIGHBORS, VARIES, WEIGHTED, digest, item_neighbors,
-    pair_cte, r6, sequential, side, top_cte, user_neighbors, weighted_neighbors,
+    pair_cte, r6, ratings, sequential, side, top_cte, user_neighbors, weighted_neighbors,
 )
 from tastegrid.plans.profiling import event_vectors
 from tastegrid.plans.similarities import BY_ITEM, HISTORY_SIM, ITEM_VECS, item_vectors
+from tastegrid.session import stage
 from tastegrid.sources import tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -39,7 +40,7 @@ def filled(template: str, target: str) -> str:
 
 
 def leave_one_out(spark, d):
-    split = P.split_leave_one_out(T.titled_ratings(spark, d))
+    split = stage(P.split_leave_one_out(stage(T.titled_ratings(spark, d), "titled")), "held-out")
     return side(split, "train"), side(split, "test")
 
 
@@ -311,7 +312,7 @@ def mf_score_pairs(spark, d):
 @query()
 def ncf_mlp(spark, d):
     """Perceptron on factor features, labels from negative sampling."""
-    r = T.ratings(spark, d)
+    r = ratings(spark, d)
     labelled = P.negative_samples(r, r.select("item_id").distinct(), num_negatives=1)
     model = M.fit_implicit(r.select("user_id", "item_id", "rating"), rank=8)
     rows = P.split_global(M.ncf_features(model, labelled))

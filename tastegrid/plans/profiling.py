@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tastegrid.functions import vectors as V
 from tastegrid.operators import profile as D, similarity as S, splits as P
 from tastegrid.plans.base import (
-    DRAWN, RAW, RATINGS, SEQ, TITLED, UI, VECTORS, digest, digest_int, dot, norm, r6, sequential,
+    DRAWN, RAW, RATINGS, SEQ, TITLED, UI, VECTORS, digest, digest_int, dot, norm, r6, ratings, sequential,
 )
 from tastegrid.plans.cleaning import POPULAR
+from tastegrid.session import stage
 from tastegrid.sources import tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -185,7 +186,8 @@ def col_corr(spark, d):
 SELECT event_id, affinity + 0.0 AS affinity, {r6('''(rank() OVER (ORDER BY affinity)
   + (count(*) OVER (PARTITION BY affinity) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER ()''')} AS pct_rank FROM a""")
 def pct_rank(spark, d):
-    rows = affinity(spark, d).select("event_id", F.round("affinity", 4).alias("affinity"))
+    rows = stage(
+        affinity(spark, d).select("event_id", F.round("affinity", 4).alias("affinity")), "affinity")
     return D.percentile_rank(rows, "affinity").select("event_id", "affinity", "pct_rank")
 
 
@@ -193,7 +195,7 @@ def pct_rank(spark, d):
 
 @query(f"WITH {RATINGS}, {POPULAR} SELECT item_id, n_ratings FROM pop")
 def popular_items(spark, d):
-    return P.popular_items(T.ratings(spark, d))
+    return P.popular_items(ratings(spark, d))
 
 
 BLENDED = f"""st AS (SELECT item_id, count(*) AS n_ratings, avg(rating) AS avg_rating FROM ratings GROUP BY 1),
@@ -205,7 +207,7 @@ bl AS (SELECT item_id, n_ratings, {r6('''0.5 * n_ratings + 0.5 * avg_rating
   row_number() OVER (ORDER BY score DESC, {digest('item_id')}) AS rn, count(*) OVER () AS n_items FROM bl)
 WHERE rn <= floor(n_items * 0.2)""")
 def popular_blended(spark, d):
-    _, top = P.popular_items_blended(T.ratings(spark, d))
+    _, top = P.popular_items_blended(ratings(spark, d))
     return top.select("item_id", "n_ratings", "score")
 
 
@@ -213,7 +215,7 @@ def popular_blended(spark, d):
 
 @query(f"WITH {SEQ} SELECT user_id, item_id, split FROM seq")
 def split_sequential(spark, d):
-    return sequential(spark, d).select("user_id", "item_id", "split")
+    return P.split_sequential(T.ratings(spark, d)).select("user_id", "item_id", "split")
 
 
 @query(f"WITH {DRAWN} SELECT user_id, item_id, CASE WHEN rn <= 4 THEN 'test' ELSE 'train' END AS split FROM drawn")
@@ -245,7 +247,7 @@ EXACT = f"""ex AS (SELECT user_id, item_id, CASE WHEN row_number() OVER (ORDER B
 @query(f"""WITH {RATINGS}, {POPULAR}, {EXACT} SELECT user_id, item_id, split FROM ex
 WHERE split = 'train' OR item_id IN (SELECT item_id FROM pop)""")
 def split_pop_random(spark, d):
-    r = T.ratings(spark, d)
+    r = ratings(spark, d)
     split = P.split_global_exact(r)
     return P.restrict_by_popularity(split, P.popular_items(r), which="popular").select(
         "user_id", "item_id", "split")
@@ -258,7 +260,7 @@ GLOBAL_SEQ = f"""gs AS (SELECT user_id, item_id, CASE WHEN row_number() OVER (OR
 @query(f"""WITH {RATINGS}, {POPULAR}, {GLOBAL_SEQ} SELECT user_id, item_id, split FROM gs
 WHERE split = 'train' OR item_id NOT IN (SELECT item_id FROM pop)""")
 def split_pop_sequential(spark, d):
-    r = T.ratings(spark, d)
+    r = ratings(spark, d)
     split = P.split_global_sequential(r)
     return P.restrict_by_popularity(split, P.popular_items(r), which="unpopular").select(
         "user_id", "item_id", "split")
@@ -294,7 +296,7 @@ dr AS (SELECT user_id, item_id AS pos_item, k AS draw, {digest_int(digest('user_
 SELECT user_id, pos_item, CAST(draw AS INTEGER) AS draw, item_id, 0 AS label FROM dr JOIN its USING (row_idx)
 UNION ALL SELECT user_id, item_id, 0, item_id, 1 FROM ratings""")
 def neg_sampling(spark, d):
-    r = T.ratings(spark, d)
+    r = ratings(spark, d)
     return P.negative_samples(r, r.select("item_id").distinct())
 
 
@@ -302,7 +304,7 @@ def neg_sampling(spark, d):
   CASE WHEN item_id IN (SELECT item_id FROM pop) THEN 'popular' ELSE 'unpopular' END AS part FROM ex WHERE split = 'test'""")
 def union_results(spark, d):
     """Popular and unpopular test rows, united."""
-    r = T.ratings(spark, d)
+    r = ratings(spark, d)
     test = P.split_global_exact(r).filter(F.col("split") == "test").select("user_id", "item_id")
     popular = P.popular_items(r).select("item_id")
     return test.join(popular, "item_id", "left_semi").withColumn("part", F.lit("popular")).unionByName(

@@ -9,8 +9,9 @@ from tastegrid.operators import (
 )
 from tastegrid.plans.base import (
     LOO, NUM, PEARSON, RATINGS, RAW, SEQ, TITLED, UI, VARIES, VECTORS, WEIGHTED, digest, dot, norm,
-    item_neighbors, pair_cte, r6, sequential, side, top_cte, user_neighbors, weighted_neighbors,
+    item_neighbors, pair_cte, r6, ratings, sequential, side, top_cte, user_neighbors, weighted_neighbors,
 )
+from tastegrid.session import stage
 from tastegrid.sources import tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -29,12 +30,12 @@ def query(sql: str | None = None):
 
 @query(f"WITH {RATINGS}, {pair_cte('p', 'ratings', 'user', 2)} SELECT a, b, n_common, {PEARSON} AS sim FROM p")
 def sim_user_pcc(spark, d):
-    return S.pearson(T.ratings(spark, d), axis="user")
+    return S.pearson(ratings(spark, d), axis="user")
 
 
 @query(f"WITH {RATINGS}, {pair_cte('p', 'ratings', 'item', 2)} SELECT a, b, n_common, {PEARSON} AS sim FROM p")
 def sim_item_pcc(spark, d):
-    return S.pearson(T.ratings(spark, d), axis="item")
+    return S.pearson(ratings(spark, d), axis="item")
 
 
 DEV = """means AS (SELECT item_id, sum(rating) / (sum(least(rating, 1)) + 1e-9) AS m FROM ratings GROUP BY 1),
@@ -45,19 +46,19 @@ dev AS (SELECT user_id, r.item_id, rating - m AS rating FROM ratings r JOIN mean
 e AS (SELECT a, b, n_common, {r6('sxy / (sqrt(sxx) * sqrt(syy) + 1e-9) * least(n_common, 25) / CAST(25 AS DOUBLE)')} AS sim FROM p)
 SELECT * FROM e WHERE abs(sim) >= 0.06""")
 def sim_item_pcc_global(spark, d):
-    return S.global_mean_pearson(T.ratings(spark, d), axis="item", min_sim=0.06)
+    return S.global_mean_pearson(ratings(spark, d), axis="item", min_sim=0.06)
 
 
 @query(f"""WITH {RATINGS}, {pair_cte('p', 'ratings', 'user', 2)}
 SELECT a, b, n_common, {WEIGHTED} AS sim FROM p WHERE {VARIES}""")
 def sim_weighted_pcc(spark, d):
-    return S.weighted_pearson(T.ratings(spark, d), axis="user")
+    return S.weighted_pearson(ratings(spark, d), axis="user")
 
 
 @query(f"""WITH {RATINGS}, {pair_cte('p', 'ratings', 'item', 2)}
 SELECT a, b, n_common, {WEIGHTED} AS sim FROM p WHERE {VARIES}""")
 def sim_weighted_pcc_item(spark, d):
-    return S.weighted_pearson(T.ratings(spark, d), axis="item")
+    return S.weighted_pearson(ratings(spark, d), axis="item")
 
 
 def _cosine_sql(axis: str, src: str, base: str, min_sim: float) -> str:
@@ -71,12 +72,12 @@ edges AS (SELECT * FROM cos WHERE sim >= {min_sim})"""
 
 @query(f"WITH {_cosine_sql('user', 'ratings', RATINGS, 0.05)} SELECT * FROM edges")
 def sim_user_cosine(spark, d):
-    return S.cosine(T.ratings(spark, d), axis="user", min_sim=0.05)
+    return S.cosine(ratings(spark, d), axis="user", min_sim=0.05)
 
 
 @query(f"WITH {_cosine_sql('item', 'ratings', RATINGS, 0.05)} SELECT * FROM edges")
 def sim_item_cosine(spark, d):
-    return S.cosine(T.ratings(spark, d), axis="item", min_sim=0.05)
+    return S.cosine(ratings(spark, d), axis="item", min_sim=0.05)
 
 
 def _jaccard_sql(axis: str, min_sim: float) -> str:
@@ -90,17 +91,17 @@ SELECT * FROM j WHERE sim >= {min_sim}"""
 
 @query(_jaccard_sql("user", 0.03))
 def sim_user_jaccard(spark, d):
-    return S.jaccard(T.ratings(spark, d), axis="user", min_sim=0.03)
+    return S.jaccard(ratings(spark, d), axis="user", min_sim=0.03)
 
 
 @query(_jaccard_sql("item", 0.03))
 def sim_item_jaccard(spark, d):
-    return S.jaccard(T.ratings(spark, d), axis="item", min_sim=0.03)
+    return S.jaccard(ratings(spark, d), axis="item", min_sim=0.03)
 
 
 @query(f"WITH {RATINGS}, {pair_cte('p', 'ratings', 'user', 3)} SELECT a, b, n_common FROM p")
 def corated_items(spark, d):
-    return S.corated_items(T.ratings(spark, d), axis="user", min_common=3)
+    return S.corated_items(ratings(spark, d), axis="user", min_common=3)
 
 
 @query(f"""WITH {RATINGS}, {pair_cte('p', 'ratings', 'user', 3)},
@@ -109,7 +110,7 @@ s AS (SELECT a, b, sim FROM e UNION ALL SELECT b, a, sim FROM e)
 SELECT a, b, sim FROM s WHERE sim > 0.6 UNION ALL
 SELECT DISTINCT user_id, user_id, CAST(1 AS DOUBLE) FROM ratings""")
 def valid_neighbors(spark, d):
-    r = T.ratings(spark, d)
+    r = ratings(spark, d)
     edges = S.pearson(r, axis="user", min_common=3)
     return S.valid_neighbors(edges, keys=r.select("user_id").distinct())
 
@@ -120,7 +121,7 @@ def valid_neighbors(spark, d):
 def knn_binary(spark, d):
     """k nearest users on the thresholded 0/1 matrix."""
     rows = S.interactions_binary(T.rating_lines(spark, d), "user_id", "item_id", "rating", 3.0)
-    ones = rows.select("user_id", "item_id", F.lit(1.0).alias("rating"))
+    ones = stage(rows.select("user_id", "item_id", F.lit(1.0).alias("rating")), "binary")
     nearest = S.top_neighbors(S.cosine(ones, axis="user", min_sim=0.05), 4)
     return nearest.select("a", "b", F.round(1 - F.col("sim"), 6).alias("distance"), "rn")
 
@@ -129,7 +130,7 @@ def knn_binary(spark, d):
 e AS (SELECT a, b, n_common, {WEIGHTED} AS sim FROM p WHERE {VARIES}), {top_cte('nb', 'e', 4)}
 SELECT a, b, n_common, sim, CAST(rn AS INTEGER) AS rn FROM nb""")
 def topk_users(spark, d):
-    return user_neighbors(T.ratings(spark, d), 4)
+    return user_neighbors(ratings(spark, d), 4)
 
 
 PROFILES = """w AS (SELECT user_id, p_brand AS brand, sum(rating) AS w FROM ratings JOIN part ON item_id = p_partkey GROUP BY 1, 2),
@@ -143,7 +144,7 @@ SELECT e.a, e.b, n_common, {r6('coalesce(ps, 0)')} AS profile_sim,
   {r6('0.5 * sim + 0.5 * coalesce(ps, 0)')} AS sim FROM e LEFT JOIN ps ON e.a = ps.a AND e.b = ps.b""")
 def sim_user_features(spark, d):
     """Rating similarity blended with the users' brand profiles."""
-    r = T.ratings(spark, d)
+    r = ratings(spark, d)
     branded = r.join(T.items(spark, d).select("item_id", "brand"), "item_id")
     profiles = S.feature_profiles(branded, S.DEFAULT, "brand")
     return S.feature_augmented(S.pearson(r, axis="user", min_common=3), profiles, "user_id")
@@ -245,7 +246,7 @@ lists AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC
 SELECT a AS user_id, b AS neighbor, sim, CAST(rn AS INTEGER) AS rn, item_id, rating, CAST(rank AS INTEGER) AS rank
 FROM nb JOIN lists ON lists.user_id = b AND rank <= 3""")
 def neighbor_top_rated(spark, d):
-    r = T.ratings(spark, d)
+    r = ratings(spark, d)
     return N.neighbor_ratings(user_neighbors(r, 4), r, 3, "top").select(
         "user_id", "neighbor", "sim", "rn", "item_id", "rating", "rank")
 
@@ -256,7 +257,7 @@ lists AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {UI}) AS ra
 SELECT a AS user_id, b AS neighbor, sim, CAST(rn AS INTEGER) AS rn, item_id, rating, CAST(rank AS INTEGER) AS rank
 FROM nb JOIN lists ON lists.user_id = b AND rank <= 2""")
 def neighbor_random(spark, d):
-    r = T.ratings(spark, d)
+    r = ratings(spark, d)
     return N.neighbor_ratings(user_neighbors(r, 4), r, 2, "random").select(
         "user_id", "neighbor", "sim", "rn", "item_id", "rating", "rank")
 
