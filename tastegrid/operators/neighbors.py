@@ -16,6 +16,7 @@ from tastegrid.roles import Roles
 
 DEFAULT = Roles()
 DIGITS = 6
+OFFERS = 20
 
 
 def rated_lists(
@@ -131,13 +132,13 @@ def predict_item_knn(
 
 
 def recommend_from_neighbors(
-    rated: DataFrame, neighbors: DataFrame, n: int = 4, roles: Roles = DEFAULT
+    rated: DataFrame, neighbors: DataFrame, n: int = 4, offers: int = OFFERS,
+    roles: Roles = DEFAULT,
 ) -> DataFrame:
-    """Items of the neighbours that the user has not rated, by summed similarity."""
+    """Best ``n`` items that the user has not rated, out of each neighbour's ``offers``
+    best rated, by the summed similarity of the neighbours offering them."""
     user, item = roles.user, roles.item
-    offered = neighbors.select(F.col("a").alias(user), F.col("b").alias("_n"), "sim").join(
-        rated.select(F.col(user).alias("_n"), item), "_n"
-    )
+    offered = neighbor_ratings(neighbors, rated, offers, "top", roles)
     scores = offered.groupBy(user, item).agg(F.round(F.sum("sim"), DIGITS).alias("score"))
     fresh = scores.join(rated.select(user, item), [user, item], "left_anti")
     return top_k(fresh, [user], [F.col("score").desc(), F.col(item)], n)

@@ -23,15 +23,18 @@ HOT_DEGREE = 10_000
 MAX_TAIL = 64  # rows per key that may be left out of the candidate join
 TAIL_SLACK = 1e-9
 
-SUMS = ["n_common", "sx", "sy", "sxx", "syy", "sxy"]
+# sums over the shared features of a pair; x belongs to a, y to b
+SUMS = {
+    "sx": lambda x, y: x, "sy": lambda x, y: y, "sxx": lambda x, y: x * x,
+    "syy": lambda x, y: y * y, "sxy": lambda x, y: x * y,
+}
+MOMENTS = tuple(SUMS)
 
 
-def _sums(x: Column, y: Column) -> list[Column]:
+def _sums(names: tuple[str, ...]) -> list[Column]:
+    x, y = F.col("x"), F.col("y")
     return [
-        F.count(F.lit(1)).alias("n_common"),
-        F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"),
-        F.sum(x * y).alias("sxy"),
+        F.count(F.lit(1)).alias("n_common"), *[F.sum(SUMS[n](x, y)).alias(n) for n in names]
     ]
 
 
@@ -62,17 +65,13 @@ def hot_tail(
         .filter(F.col("rn") <= MAX_TAIL)
     )
     fits = F.col("rn") < F.lit(min_common)
-    if min_cosine or min_jaccard:
-        size = rows.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"), F.sum(F.col("x") * F.col("x")).alias("sq")
-        )
-        top = top.join(size, "key").withColumn(
-            "cum", F.sum(F.col("x") * F.col("x")).over(w.rowsBetween(W.unboundedPreceding, 0))
-        )
-        if min_cosine:
-            fits = fits | (F.col("cum") < F.col("sq") * F.lit(min_cosine**2 - TAIL_SLACK))
-        if min_jaccard:
-            fits = fits | (F.col("rn") < F.col("size") * F.lit(min_jaccard) - TAIL_SLACK)
+    if min_cosine:
+        norm_share = F.sum(F.col("x") * F.col("x")).over(w.rowsBetween(W.unboundedPreceding, 0))
+        top = top.withColumn("share", norm_share)
+        fits = fits | (F.col("share") < F.lit(min_cosine**2 - TAIL_SLACK))
+    if min_jaccard:
+        top = top.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
+        fits = fits | (F.col("rn") < F.col("size") * F.lit(min_jaccard) - TAIL_SLACK)
     return top.filter(fits).select("key", "feature", "x")
 
 
@@ -84,12 +83,13 @@ def co_rating_sums(
     min_common: int = 2,
     min_cosine: float | None = None,
     min_jaccard: float | None = None,
+    sums: tuple[str, ...] = MOMENTS,
     hot_degree: int = HOT_DEGREE,
 ) -> DataFrame:
-    """Pairs (a, b, n_common, sx, sy, sxx, syy, sxy); input unique on (key, feature).
+    """Pairs (a, b, n_common) with the chosen ``sums``; input unique on (key, feature).
 
-    ``min_cosine`` / ``min_jaccard`` only prune candidates; the caller still applies
-    its own exact threshold.
+    ``min_cosine`` (on rows whose values are scaled to length 1 per key) and
+    ``min_jaccard`` only prune candidates; the caller still applies its own threshold.
     """
     value = F.col(value) if isinstance(value, str) else value
     rows = ratings.select(
@@ -100,11 +100,11 @@ def co_rating_sums(
     enough = F.col("n_common") >= min_common
     prunes = min_common > 1 or min_cosine or min_jaccard
     if not prunes or hot.isEmpty():
-        return _self_pairs(rows).groupBy("a", "b").agg(*_sums(F.col("x"), F.col("y"))).filter(enough)
+        return _self_pairs(rows).groupBy("a", "b").agg(*_sums(sums)).filter(enough)
 
     tail = hot_tail(rows, hot, min_common, min_cosine, min_jaccard)
     core = rows.join(tail.select("key", "feature"), ["key", "feature"], "left_anti")
-    base = _self_pairs(core).groupBy("a", "b").agg(*_sums(F.col("x"), F.col("y")))
+    base = _self_pairs(core).groupBy("a", "b").agg(*_sums(sums))
     pairs = base.select("a", "b")
 
     def side(rows_: DataFrame, key_name: str, value_name: str) -> DataFrame:
@@ -117,10 +117,10 @@ def co_rating_sums(
     cols = ["a", "b", "x", "y"]
     added = (
         tail_of_a.select(*cols).unionByName(tail_of_b.select(*cols))
-        .groupBy("a", "b").agg(*_sums(F.col("x"), F.col("y")))
+        .groupBy("a", "b").agg(*_sums(sums))
     )
     return (
         base.unionByName(added).groupBy("a", "b")
-        .agg(*[F.sum(c).alias(c) for c in SUMS])
+        .agg(*[F.sum(c).alias(c) for c in ("n_common", *sums)])
         .filter(enough)
     )

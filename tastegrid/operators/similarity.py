@@ -99,7 +99,9 @@ def global_mean_pearson(
     )
     dev = df.join(means, key).select(roles.user, roles.item, (r - F.col("_mean")).alias("_dev"))
     overlap = max(min_common, math.ceil(min_sim * delta - FLAT))
-    pairs = co_rating_sums(dev, key, feature, "_dev", overlap, hot_degree=hot_degree)
+    pairs = co_rating_sums(
+        dev, key, feature, "_dev", overlap, sums=("sxx", "syy", "sxy"), hot_degree=hot_degree
+    )
     weight = F.least(F.col("n_common"), F.lit(delta)) / F.lit(delta)
     sim = F.col("sxy") / (F.sqrt("sxx") * F.sqrt("syy") + EPSILON) * weight
     edges = _edges(pairs, sim)
@@ -112,6 +114,8 @@ def cosine(
 ) -> DataFrame:
     """Cosine of zero-filled rating vectors: dot over shared, norms over all features.
 
+    Rows are scaled to length 1 before pairing, so the pair needs no second lookup.
+
     ``min_sim`` also prunes candidates. With ``min_sim=0`` and ``min_common=1`` the
     result itself holds every co-rated pair, which grows with the square of the
     largest feature.
@@ -119,14 +123,14 @@ def cosine(
     key, feature = _axis(roles, axis)
     r = F.col(roles.rating)
     norms = df.groupBy(key).agg(F.sqrt(F.sum(r * r)).alias("_norm"))
+    scaled = df.join(norms, key).select(
+        roles.user, roles.item, (r / F.nullif(F.col("_norm"), F.lit(0.0))).alias("_x")
+    ).filter(F.col("_x") != 0)
     pairs = co_rating_sums(
-        df, key, feature, roles.rating, min_common, min_cosine=min_sim or None, hot_degree=hot_degree
-    )
-    na = norms.select(F.col(key).alias("a"), F.col("_norm").alias("_na"))
-    nb = norms.select(F.col(key).alias("b"), F.col("_norm").alias("_nb"))
-    edges = _edges(
-        pairs.join(na, "a").join(nb, "b"), F.col("sxy") / (F.col("_na") * F.col("_nb"))
+        scaled, key, feature, "_x", min_common, min_cosine=min_sim or None, sums=("sxy",),
+        hot_degree=hot_degree,
     )
+    edges = _edges(pairs, F.col("sxy"))
     return edges.filter(F.col("sim") >= min_sim) if min_sim else edges
 
 
@@ -137,15 +141,14 @@ def jaccard(
     """Shared over united feature sets; ``min_sim`` also prunes candidates."""
     key, feature = _axis(roles, axis)
     rated = df.filter(F.col(roles.rating) != 0)
-    sizes = rated.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rated.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("_size"))
+    sized = rated.select(roles.user, roles.item).join(sizes, key)
     pairs = co_rating_sums(
-        rated, key, feature, F.lit(1.0), min_common,
-        min_jaccard=min_sim or None, hot_degree=hot_degree,
+        sized, key, feature, "_size", min_common, min_jaccard=min_sim or None, sums=("sx", "sy"),
+        hot_degree=hot_degree,
     )
-    na = sizes.select(F.col(key).alias("a"), F.col("_n").alias("_na"))
-    nb = sizes.select(F.col(key).alias("b"), F.col("_n").alias("_nb"))
-    sim = F.col("n_common") / (F.col("_na") + F.col("_nb") - F.col("n_common"))
-    edges = _edges(pairs.join(na, "a").join(nb, "b"), sim)
+    n = F.col("n_common")  # every shared feature carries the size of each side
+    edges = _edges(pairs, n / (F.col("sx") / n + F.col("sy") / n - n))
     return edges.filter(F.col("sim") >= min_sim) if min_sim else edges
 
 
@@ -155,9 +158,7 @@ def corated_items(
 ) -> DataFrame:
     """Pairs with the size of their shared feature set."""
     key, feature = _axis(roles, axis)
-    return co_rating_sums(
-        df, key, feature, F.lit(1.0), min_common, hot_degree=hot_degree
-    ).select("a", "b", "n_common")
+    return co_rating_sums(df, key, feature, F.lit(1.0), min_common, sums=(), hot_degree=hot_degree)
 
 
 def symmetrized(edges: DataFrame) -> DataFrame:

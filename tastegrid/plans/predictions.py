@@ -97,8 +97,9 @@ def pred_item_knn(spark, d):
         "user_id", "item_id", "rating", "prediction")
 
 
-RECOMMEND = """offered AS (SELECT nb.a AS user_id, r.item_id, """ + r6("sum(nb.sim)") + """ AS score
-  FROM user_nb nb JOIN train r ON r.user_id = nb.b GROUP BY 1, 2),
+RECOMMEND = """best AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS rank FROM train),
+offered AS (SELECT nb.a AS user_id, r.item_id, """ + r6("sum(nb.sim)") + """ AS score
+  FROM user_nb nb JOIN best r ON r.user_id = nb.b AND rank <= 20 GROUP BY 1, 2),
 rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn
   FROM offered o WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = o.user_id AND t.item_id = o.item_id))
   WHERE rn <= 10)"""
@@ -289,9 +290,9 @@ def log_loss(spark, d):
 
 @query()
 def mf_implicit(spark, d):
-    """Five best items per user from implicit factors."""
-    r = T.ratings(spark, d).select("user_id", "item_id", "rating")
-    return M.recommend_all(M.fit_implicit(r), 5)
+    """User and item factors learned from implicit feedback."""
+    r = ratings(spark, d).select("user_id", "item_id", "rating")
+    return M.factors(M.fit_implicit(r))
 
 
 @query()
