@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tastegrid.constants import (
     CF_TEMPLATE, FEW_SHOT_TEMPLATE, HISTORY_HEADER, MAIN_USER_RATINGS, MIN_RATINGS, SEED,
-    SIMILAR_HEADER, TOKEN_BUDGET, ZERO_SHOT_TEMPLATE,
+    SIMILAR_HEADER, ZERO_SHOT_TEMPLATE,
 )
 from tastegrid.functions import text as X, vectors as V
 from tastegrid.functions.hashing import md5_key

@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tastegrid.constants import RATINGS_PER_NEIGHBOR, SEED, SIMILAR_USERS
+from tastegrid.constants import RATINGS_PER_NEIGHBOR, SEED
 from tastegrid.functions.hashing import md5_key
 from tastegrid.operators.ranking import top_k
-from tastegrid.operators.similarity import top_neighbors
 from tastegrid.roles import Roles
 
 DEFAULT = Roles()

@@ -59,12 +59,11 @@ def dataset_stats(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
 def activity_histogram(df: DataFrame, key: str, bins: int = 50) -> DataFrame:
     """Equal-width histogram of rows per key; the largest value falls in the last bin."""
     counts = value_counts(df, key).groupBy("n").agg(F.count(F.lit(1)).alias("c"))
-    low = counts.agg(F.min("n").alias("v")).scalar()
-    high = counts.agg(F.max("n").alias("v")).scalar()
-    width = (high - low) / F.lit(float(bins))
-    position = F.floor((F.col("n") - low) / F.nullif(width, F.lit(0.0)))
+    everything = W.partitionBy()  # one row per distinct count, not per key
+    low, high = F.min("n").over(everything), F.max("n").over(everything)
+    position = F.floor((F.col("n") - low) / F.nullif((high - low) / F.lit(float(bins)), F.lit(0.0)))
     bin_no = F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)).cast("int")
-    return counts.groupBy(bin_no.alias("bin")).agg(F.sum("c").alias("n_keys"))
+    return counts.withColumn("bin", bin_no).groupBy("bin").agg(F.sum("c").alias("n_keys"))
 
 
 def group_mean(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

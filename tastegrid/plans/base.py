@@ -19,9 +19,14 @@ def ratings(spark: SparkSession, d: str) -> DataFrame:
     return stage(T.ratings(spark, d), "ratings")
 
 
+def titled(spark: SparkSession, d: str) -> DataFrame:
+    """The rating table with titles, staged."""
+    return stage(T.titled_ratings(spark, d), "titled")
+
+
 def sequential(spark: SparkSession, d: str) -> DataFrame:
     """Time split of the rating table, staged for its train and test readers."""
-    return stage(P.split_sequential(stage(T.titled_ratings(spark, d), "titled")), "sequential")
+    return stage(P.split_sequential(titled(spark, d)), "sequential")
 
 
 def side(split: DataFrame, name: str) -> DataFrame:

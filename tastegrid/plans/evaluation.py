@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tastegrid.operators import (
-    evaluate as E, models as M, neighbors as N, profile as D, report as R, splits as P, textmetrics as X,
+    evaluate as E, models as M, neighbors as N, report as R, splits as P, textmetrics as X,
 )
 from tastegrid.plans.base import (
     LOO, RATINGS, SEQ, UI, digest, digest_int, item_neighbors, r6, sequential, side, user_neighbors,
@@ -13,7 +13,7 @@ from tastegrid.plans.base import (
 )
 from tastegrid.plans.cleaning import SCORED
 from tastegrid.plans.predictions import BIAS, ITEM_KNN, RECOMMEND, _IK, leave_one_out
-from tastegrid.session import fresh_path
+from tastegrid.session import fresh_path, stage
 from tastegrid.sources import tables as T, writers as O
 
 QUERIES, ORACLES = {}, {}
@@ -179,8 +179,8 @@ SELECT count(*) AS n_users, {_HR} FROM pos""")
 def eval_loo_rank(spark, d):
     """Held-out item against 19 drawn items, scored from the user's own ratings."""
     train, test = leave_one_out(spark, d)
-    pool = T.ratings(spark, d).select("item_id").distinct()
-    candidates = P.negative_samples(test, pool, num_negatives=19)
+    pool = train.select("item_id").unionByName(test.select("item_id")).distinct()
+    candidates = stage(P.negative_samples(test, pool, num_negatives=19), "candidates")
     pairs = candidates.select("user_id", "item_id").distinct()
     scored = N.predict_item_knn(train, pairs, item_neighbors(train))
     rows = candidates.select("user_id", "item_id", "label").join(scored, ["user_id", "item_id"])

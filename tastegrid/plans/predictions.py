@@ -10,8 +10,8 @@ from tastegrid.operators import (
     context as X, evaluate as E, models as M, neighbors as N, scoring as B, similarity as S, splits as P,
 )
 from tastegrid.plans.base import (
-    DRAWN, LOO, RATINGS, SEQ, TITLED, UI, USER_NEIGHBORS, VARIES, WEIGHTED, digest, item_neighbors,
-    pair_cte, r6, ratings, sequential, side, top_cte, user_neighbors, weighted_neighbors,
+    DRAWN, LOO, SEQ, TITLED, UI, USER_NEIGHBORS, item_neighbors, r6, ratings, sequential, side,
+    titled, user_neighbors, weighted_neighbors,
 )
 from tastegrid.plans.profiling import event_vectors
 from tastegrid.plans.similarities import BY_ITEM, HISTORY_SIM, ITEM_VECS, item_vectors
@@ -40,7 +40,7 @@ def filled(template: str, target: str) -> str:
 
 
 def leave_one_out(spark, d):
-    split = stage(P.split_leave_one_out(stage(T.titled_ratings(spark, d), "titled")), "held-out")
+    split = stage(P.split_leave_one_out(titled(spark, d)), "held-out")
     return side(split, "train"), side(split, "test")
 
 
@@ -160,7 +160,7 @@ SELECT d.user_id, item_id, title, rating AS actual_rating,
   {quoted(C.HISTORY_HEADER)} || history || {filled(C.FEW_SHOT_TEMPLATE, "'title: ' || title")} AS prompt
 FROM drawn d JOIN h USING (user_id) WHERE rn = 1 AND n_rows >= 5""")
 def ctx_few_shot(spark, d):
-    return X.few_shot(T.titled_ratings(spark, d), ["title"])
+    return X.few_shot(titled(spark, d), ["title"])
 
 
 def _cf_sql(history: str, similar: str) -> str:
@@ -178,9 +178,8 @@ cf AS (SELECT t.user_id, t.item_id, t.title, t.rating AS actual_rating, {_cf_sql
 
 def cf_random(spark, d):
     """Held-out row, four own ratings, one random rating of each of four neighbours."""
-    rows = T.titled_ratings(spark, d)
-    drawn = X.drawn_rows(rows)
-    train, _ = leave_one_out(spark, d)
+    train, test = leave_one_out(spark, d)
+    drawn = stage(X.drawn_rows(train.unionByName(test)), "drawn")
     similar = N.neighbor_ratings(user_neighbors(train, C.SIMILAR_USERS), train, C.RATINGS_PER_NEIGHBOR, "random")
     return X.collaborative(
         drawn.filter(F.col("rn") == 1), drawn.filter(F.col("rn") > 1), similar, ["user_id"])
@@ -194,7 +193,7 @@ def ctx_cf_random(spark, d):
 @query(f"""WITH {LOO}, {CF_RANDOM}, {ITEM_VECS}, {HISTORY_SIM}
 SELECT cf.*, semantic_sim FROM cf LEFT JOIN hs ON hs.user_id = cf.user_id AND hs.target = cf.item_id""")
 def ctx_cf_semantic(spark, d):
-    drawn = X.drawn_rows(T.titled_ratings(spark, d))
+    drawn = stage(X.drawn_rows(titled(spark, d)), "drawn")
     close = X.semantic_history(
         drawn.filter(F.col("rn") == 1), drawn.filter(F.col("rn") > 1), item_vectors(spark, d)
     ).select("user_id", F.col("target").alias("item_id"), "semantic_sim")
@@ -252,7 +251,7 @@ def neighbor_conflicts(spark, d):
 @query(f"WITH {TITLED} SELECT user_id, item_id, CAST(length(title) AS BIGINT) AS score FROM titled")
 def score_batches(spark, d):
     """A pure function in the place of a model: each distinct title is scored once."""
-    rows = T.titled_ratings(spark, d).select("user_id", "item_id", "title")
+    rows = titled(spark, d).select("user_id", "item_id", "title")
     return B.score_batches(rows, lambda titles: [len(t) for t in titles], "title", "score", "bigint").drop("title")
 
 

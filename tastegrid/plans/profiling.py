@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tastegrid.functions import vectors as V
 from tastegrid.operators import profile as D, similarity as S, splits as P
 from tastegrid.plans.base import (
-    DRAWN, RAW, RATINGS, SEQ, TITLED, UI, VECTORS, digest, digest_int, dot, norm, r6, ratings, sequential,
+    DRAWN, RAW, RATINGS, SEQ, TITLED, UI, VECTORS, digest, digest_int, dot, norm, r6, ratings, titled,
 )
 from tastegrid.plans.cleaning import POPULAR
 from tastegrid.session import stage
@@ -54,7 +54,7 @@ def distinct_values(spark, d):
 SELECT n_users, n_items, n_ratings, {r6('n_ratings / CAST(n_users AS DOUBLE)')} AS ratings_per_user,
   {r6('1 - n_ratings / (CAST(n_users AS DOUBLE) * n_items)')} AS sparsity FROM s""")
 def dataset_stats(spark, d):
-    return D.dataset_stats(T.ratings(spark, d))
+    return D.dataset_stats(ratings(spark, d))
 
 
 @query(f"WITH {RAW} SELECT rating, count(*) AS n FROM raw GROUP BY 1")
@@ -72,13 +72,13 @@ def activity_histogram(spark, d):
 
 @query(f"""WITH {TITLED} SELECT user_id, item_id, {r6('avg(rating) OVER (PARTITION BY title)')} AS prediction FROM titled""")
 def pred_item_mean(spark, d):
-    rows = D.group_mean(T.titled_ratings(spark, d), ["title"], "rating", "prediction")
+    rows = D.group_mean(titled(spark, d), ["title"], "rating", "prediction")
     return rows.select("user_id", "item_id", "prediction")
 
 
 @query(f"""WITH {TITLED} SELECT user_id, item_id, {r6('avg(rating) OVER (PARTITION BY user_id, title)')} AS prediction FROM titled""")
 def pred_user_item_mean(spark, d):
-    rows = D.group_mean(T.titled_ratings(spark, d), ["user_id", "title"], "rating", "prediction")
+    rows = D.group_mean(titled(spark, d), ["user_id", "title"], "rating", "prediction")
     return rows.select("user_id", "item_id", "prediction")
 
 
@@ -215,23 +215,23 @@ def popular_blended(spark, d):
 
 @query(f"WITH {SEQ} SELECT user_id, item_id, split FROM seq")
 def split_sequential(spark, d):
-    return P.split_sequential(T.ratings(spark, d)).select("user_id", "item_id", "split")
+    return P.split_sequential(ratings(spark, d)).select("user_id", "item_id", "split")
 
 
 @query(f"WITH {DRAWN} SELECT user_id, item_id, CASE WHEN rn <= 4 THEN 'test' ELSE 'train' END AS split FROM drawn")
 def split_random_k(spark, d):
-    return P.split_random_k(T.ratings(spark, d), k=4).select("user_id", "item_id", "split")
+    return P.split_random_k(ratings(spark, d), k=4).select("user_id", "item_id", "split")
 
 
 @query(f"WITH {DRAWN} SELECT user_id, item_id, CASE WHEN rn = 1 THEN 'test' ELSE 'train' END AS split FROM drawn")
 def split_leave_one_out(spark, d):
-    return P.split_leave_one_out(T.ratings(spark, d)).select("user_id", "item_id", "split")
+    return P.split_leave_one_out(ratings(spark, d)).select("user_id", "item_id", "split")
 
 
 @query(f"""WITH {DRAWN} SELECT user_id, item_id, CASE WHEN rn <= 4 THEN 'train' ELSE 'test' END AS split
 FROM drawn WHERE n_rows >= 5""")
 def split_four_rest(spark, d):
-    return P.split_first_k_train(T.ratings(spark, d)).select("user_id", "item_id", "split")
+    return P.split_first_k_train(ratings(spark, d)).select("user_id", "item_id", "split")
 
 
 @query(f"""WITH {RATINGS} SELECT user_id, item_id, CASE WHEN {digest_int(UI)} / CAST(268435456 AS DOUBLE) < 0.2
@@ -278,7 +278,7 @@ draws AS (SELECT p_partkey AS target_id, k AS draw, {digest_int(digest('p_partke
 SELECT target_id, CAST(draw AS INTEGER) AS draw, user_id, item_id, title, rating FROM draws JOIN num USING (row_idx)""")
 def global_history(spark, d):
     targets = T.table(spark, d, "part").select(F.col("p_partkey").alias("target_id"))
-    pool = T.titled_ratings(spark, d)
+    pool = titled(spark, d)
     return P.global_history(targets, pool, "target_id", ["user_id", "item_id"]).select(
         "target_id", "draw", "user_id", "item_id", "title", "rating")
 

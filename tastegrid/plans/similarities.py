@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tastegrid.operators import (
-    context as X, neighbors as N, similarity as S, splits as P, vectorsim as VS,
+    context as X, neighbors as N, similarity as S, vectorsim as VS,
 )
 from tastegrid.plans.base import (
-    LOO, NUM, PEARSON, RATINGS, RAW, SEQ, TITLED, UI, VARIES, VECTORS, WEIGHTED, digest, dot, norm,
-    item_neighbors, pair_cte, r6, ratings, sequential, side, top_cte, user_neighbors, weighted_neighbors,
+    LOO, PEARSON, RATINGS, RAW, SEQ, UI, VARIES, VECTORS, WEIGHTED, dot, norm,
+    item_neighbors, pair_cte, r6, ratings, sequential, side, titled, top_cte, user_neighbors, weighted_neighbors,
 )
 from tastegrid.session import stage
 from tastegrid.sources import tables as T
@@ -233,7 +233,7 @@ HISTORY_SIM = f"""hs AS (SELECT t.user_id, t.item_id AS target,
 
 @query(f"WITH {LOO}, {ITEM_VECS}, {HISTORY_SIM} SELECT user_id, target, semantic_sim, n_history FROM hs")
 def semantic_history_sim(spark, d):
-    drawn = X.drawn_rows(T.titled_ratings(spark, d))
+    drawn = stage(X.drawn_rows(titled(spark, d)), "drawn")
     test, past = drawn.filter(F.col("rn") == 1), drawn.filter(F.col("rn") > 1)
     return X.semantic_history(test, past, item_vectors(spark, d))
 
