@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tastegrid.session import stage
+
 HOT_DEGREE = 10_000
 MAX_TAIL = 64  # rows per key that may be left out of the candidate join
 TAIL_SLACK = 1e-9
@@ -102,9 +104,10 @@ def co_rating_sums(
     if not prunes or hot.isEmpty():
         return _self_pairs(rows).groupBy("a", "b").agg(*_sums(sums)).filter(enough)
 
-    tail = hot_tail(rows, hot, min_common, min_cosine, min_jaccard)
+    # both tables are read several times below
+    tail = stage(hot_tail(rows, hot, min_common, min_cosine, min_jaccard), "hot-tail")
     core = rows.join(tail.select("key", "feature"), ["key", "feature"], "left_anti")
-    base = _self_pairs(core).groupBy("a", "b").agg(*_sums(sums))
+    base = stage(_self_pairs(core).groupBy("a", "b").agg(*_sums(sums)), "core-pairs")
     pairs = base.select("a", "b")
 
     def side(rows_: DataFrame, key_name: str, value_name: str) -> DataFrame:
