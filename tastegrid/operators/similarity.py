@@ -46,7 +46,9 @@ def _axis(roles: Roles, axis: str) -> tuple[str, str]:
 
 
 def _edges(pairs: DataFrame, sim: Column) -> DataFrame:
-    return pairs.select("a", "b", "n_common", F.round(sim, DIGITS).alias("sim"))
+    """Round to DIGITS by scaling to whole numbers, as SQL engines with binary rounding do."""
+    scale = float(10**DIGITS)
+    return pairs.select("a", "b", "n_common", (F.round(sim * scale) / scale).alias("sim"))
 
 
 def _moments() -> tuple[Column, Column, Column]:
@@ -79,8 +81,7 @@ def weighted_pearson(
     key, feature = _axis(roles, axis)
     pairs = co_rating_sums(df, key, feature, roles.rating, min_common, hot_degree=hot_degree)
     num, vx, vy = _moments()
-    weight = F.least(F.col("n_common"), F.lit(delta)) / F.lit(delta)
-    sim = num / (F.sqrt(vx) * F.sqrt(vy)) * weight
+    sim = num / (F.sqrt(vx) * F.sqrt(vy)) * F.least(F.col("n_common"), F.lit(delta)) / delta
     return _edges(pairs.filter((vx > FLAT) & (vy > FLAT)), sim)
 
 
@@ -102,8 +103,8 @@ def global_mean_pearson(
     pairs = co_rating_sums(
         dev, key, feature, "_dev", overlap, sums=("sxx", "syy", "sxy"), hot_degree=hot_degree
     )
-    weight = F.least(F.col("n_common"), F.lit(delta)) / F.lit(delta)
-    sim = F.col("sxy") / (F.sqrt("sxx") * F.sqrt("syy") + EPSILON) * weight
+    counted = F.least(F.col("n_common"), F.lit(delta))
+    sim = F.col("sxy") / (F.sqrt("sxx") * F.sqrt("syy") + EPSILON) * counted / delta
     edges = _edges(pairs, sim)
     return edges.filter(F.abs("sim") >= min_sim) if min_sim else edges
 
