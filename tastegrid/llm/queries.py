@@ -1,10 +1,11 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from tastegrid.llm.bpe import op7_byte_bpe
+from tastegrid.llm.jaccard import OP4_SQL, op4_jaccard
 from tastegrid.llm.mixing import op2_mixing
 from tastegrid.llm.repeats import op8_suffix_dedup
 from tastegrid.llm.sharding import op5_sharding
 from tastegrid.llm.tokencount import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_sharding, op6_token_counts, op7_byte_bpe, op8_suffix_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_jaccard, op5_sharding, op6_token_counts, op7_byte_bpe, op8_suffix_dedup)}
+ORACLES: dict[str, str] = {"op4_jaccard": OP4_SQL}
