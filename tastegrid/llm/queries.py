@@ -8,6 +8,10 @@ from tastegrid.llm.quality import op1_quality_rules
 from tastegrid.llm.repeats import op8_suffix_dedup
 from tastegrid.llm.sharding import op5_sharding
 from tastegrid.llm.tokencount import op6_token_counts
+from tastegrid.llm.urls import op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_jaccard, op5_sharding, op6_token_counts, op7_byte_bpe, op8_suffix_dedup, op9_exact_topk)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_mixing, op3_url_filters, op4_jaccard, op5_sharding,
+    op6_token_counts, op7_byte_bpe, op8_suffix_dedup, op9_exact_topk,
+)}
 ORACLES: dict[str, str] = {"op4_jaccard": OP4_SQL, "op9_exact_topk": OP9_SQL}
