@@ -3,6 +3,7 @@
 from tastegrid.llm.bpe import op7_byte_bpe
 from tastegrid.llm.jaccard import OP4_SQL, op4_jaccard
 from tastegrid.llm.knn import OP9_SQL, op9_exact_topk
+from tastegrid.llm.licenses import op10_license_scan
 from tastegrid.llm.mixing import op2_mixing
 from tastegrid.llm.quality import op1_quality_rules
 from tastegrid.llm.repeats import op8_suffix_dedup
@@ -12,6 +13,6 @@ from tastegrid.llm.urls import op3_url_filters
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_mixing, op3_url_filters, op4_jaccard, op5_sharding,
-    op6_token_counts, op7_byte_bpe, op8_suffix_dedup, op9_exact_topk,
+    op6_token_counts, op7_byte_bpe, op8_suffix_dedup, op9_exact_topk, op10_license_scan,
 )}
 ORACLES: dict[str, str] = {"op4_jaccard": OP4_SQL, "op9_exact_topk": OP9_SQL}
