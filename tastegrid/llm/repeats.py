@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tastegrid.session import stage
+from tastegrid.llm.common import bit_filter, has_bit, keep, parted
 
 LENGTH = 200
 HASH = 16
@@ -92,45 +92,54 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(rid, codes): the context hashes of every text's runs, in order."""
+    """(code): the context hashes of the runs of every text."""
     def run(batches):
         for b in _slices(batches):
-            codes = [parse((t or "").encode(), length)[3] for t in b.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(codes)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["rid", "codes"])
+            codes = [parse((t or "").encode(), length)[3] for t in b.column(0).to_pylist()]
+            if codes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes))], names=["code"])
 
-    return rows.filter(F.octet_length("text") >= length).select("rid", "text").mapInArrow(
-        run, "rid long, codes array<long>")
+    return rows.filter(F.octet_length("text") >= length).select("text").mapInArrow(run, "code long")
 
 
-def _runs(flagged: DataFrame, kind: str, length: int) -> DataFrame:
-    """Texts with their flagged runs: code, 128-bit hash of the content and the trigger's place, lo, hi."""
-    schema = (f"rid long, id {kind}, text string, "
-              "runs array<struct<code: long, xa: long, xb: long, lo: int, hi: int>>")
+def _phrases(rows: DataFrame, kind: str, seen: np.ndarray, length: int) -> DataFrame:
+    """Texts with the runs whose context passes the filter: code, 128-bit hash of the content and the
+    trigger's place in it, lo, hi. Texts without such runs are left out."""
+    shared = rows.sparkSession.sparkContext.broadcast(seen)
+    runs_type = pa.list_(pa.struct([("code", pa.int64()), ("xa", pa.int64()), ("xb", pa.int64()),
+                                    ("lo", pa.int32()), ("hi", pa.int32())]))
 
     def run(batches):
         for b in _slices(batches):
-            out = []
-            for text, picked in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                raw = text.encode()
+            out, rows_ = [], []
+            for k, text in enumerate(b.column(2).to_pylist()):
+                raw = (text or "").encode()
                 lo, hi, trigger, code = parse(raw, length)
-                rows = []
-                for i in picked:
-                    a, z = int(lo[i]), int(hi[i])
-                    xa, xb = _halves(raw[a:z + length] + (int(trigger[i]) - a).to_bytes(4, "little"))
-                    rows.append({"code": int(code[i]), "xa": xa, "xb": xb, "lo": a, "hi": z})
-                out.append(rows)
-            kind_ = pa.list_(pa.struct([("code", pa.int64()), ("xa", pa.int64()), ("xb", pa.int64()),
-                                        ("lo", pa.int32()), ("hi", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(out, kind_)], names=["rid", "id", "text", "runs"])
-
-    return flagged.select("rid", "id", "text", "picked").mapInArrow(run, schema)
-
+                picked = np.flatnonzero(has_bit(shared.value, code))
+                if not len(picked):
+                    continue
+                runs = []
+                for a, z, t, c in zip(*(x[picked].tolist() for x in (lo, hi, trigger, code))):
+                    xa, xb = _halves(raw[a:z + length] + (t - a).to_bytes(4, "little"))
+                    runs.append({"code": c, "xa": xa, "xb": xb, "lo": a, "hi": z})
+                out.append(runs)
+                rows_.append(k)
+            part = b.take(pa.array(rows_, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, runs_type)],
+                                             names=["rid", "id", "text", "runs"])
+
+    return rows.filter(F.octet_length("text") >= length).mapInArrow(
+        run, f"rid long, id {kind}, text string, "
+             "runs array<struct<code: long, xa: long, xb: long, lo: int, hi: int>>")
+
+
+def _suffixes(contents: DataFrame, length: int, seen: np.ndarray | None = None) -> DataFrame:
+    """The strings that begin in each content of (text, todo): (wa, wb) 128-bit hash, xa, xb, off.
+
+    With a filter, only those whose hash passes it.
+    """
+    shared = contents.sparkSession.sparkContext.broadcast(seen)
 
-def _suffixes(contents: DataFrame, length: int) -> DataFrame:
-    """The strings that begin in each distinct content: (wa, wb) 128-bit hash, xa, xb, off."""
     def run(batches):
         names = ["wa", "wb", "xa", "xb", "off"]
         for b in _slices(batches, 64):
@@ -142,8 +151,11 @@ def _suffixes(contents: DataFrame, length: int) -> DataFrame:
                         wa, wb = _halves(raw[i:i + length])
                         for c, v in zip(cols, (wa, wb, x["xa"], x["xb"], i - x["lo"])):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.int32())], names=names)
+            if shared.value is not None:
+                out = out.filter(pa.array(has_bit(shared.value, out.column(0).to_numpy())))
+            yield out
 
     return contents.select("text", "todo").mapInArrow(run, "wa long, wb long, xa long, xb long, off int")
 
@@ -160,33 +172,33 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"length must be at least {REACH + HASH}")
     rows = _keyed(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    contexts = stage(_contexts(rows, length), "contexts")
-    codes = contexts.select("rid", F.posexplode("codes").alias("at", "code"))
-    twice = stage(codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code"), "twice")
-    # rows that are equal have one rid; their lists are the same
-    picked = stage(codes.join(twice, "code", "left_semi").groupBy("rid").agg(
-        F.sort_array(F.collect_set("at")).alias("picked")), "picked")
-    texts = stage(_runs(rows.join(picked, "rid"), kind, length), "phrases")
+    twice = keep(_contexts(rows, length).groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                 .select("code"), "twice")
+    texts = keep(_phrases(rows, kind, bit_filter(twice, "code", _bits(twice.count())), length), "phrases")
 
     runs = texts.select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
-    contents = stage(runs.groupBy("code", "xa", "xb").agg(
+    contents = keep(runs.groupBy("code", "xa", "xb").agg(
         F.count(F.lit(1)).alias("n"), F.min_by(F.struct("rid", "lo", "hi"), F.struct("rid", "lo")).alias("one")),
         "dictionary")
-    mixed = stage(contents.groupBy("code").agg(
+    # contexts around which contents differ, one of them met once
+    mixed = keep(contents.groupBy("code").agg(
         F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("code"), "mixed")
-    todo = (
-        contents.join(mixed, "code", "left_semi")
-        .select("one.rid", F.struct("xa", "xb", "one.lo", "one.hi").alias("x"))
-        .groupBy("rid").agg(F.collect_list("x").alias("todo"))
+    open_ = keep(contents.join(mixed, "code", "left_semi").select("xa", "xb", "n", "one.*"), "open")
+
+    def with_texts(some: DataFrame) -> DataFrame:
+        todo = some.select("rid", F.struct("xa", "xb", "lo", "hi").alias("x")).groupBy("rid").agg(
+            F.collect_list("x").alias("todo"))
+        # a repeated row has the same text under the same rid: one of them is enough
+        return texts.select("rid", "text").join(todo, "rid").dropDuplicates(["rid"])
+
+    shared = keep(_suffixes(with_texts(open_), length).groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("n"))
+                  .filter("n > 1").drop("n"), "shared")
+    seen = bit_filter(shared, "wa", _bits(shared.count()))
+    parts = (
+        _suffixes(with_texts(open_.filter("n = 1")), length, seen).join(shared, ["wa", "wb"], "left_semi")
+        .groupBy("xa", "xb").agg(F.collect_list("off").alias("offs"))
     )
-    # a repeated row has the same text under the same rid: one of them is enough
-    suffixes = stage(_suffixes(
-        texts.select("rid", "text").join(todo, "rid").dropDuplicates(["rid"]), length), "suffixes")
-    shared = stage(suffixes.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "shared")
-    once = contents.filter("n = 1").select("xa", "xb")
-    parts = suffixes.join(shared, ["wa", "wb"], "left_semi").groupBy("xa", "xb").agg(
-        F.collect_list("off").alias("offs")).join(once, ["xa", "xb"], "left_semi")
-    known = stage(
+    known = keep(
         contents.filter("n > 1").select("xa", "xb", F.lit(None).cast("array<int>").alias("offs"))
         .unionByName(parts), "known")
     ranges = F.when(F.col("offs").isNull(), F.array(F.struct("lo", "hi"))).otherwise(
@@ -195,7 +207,12 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         runs.join(known, ["xa", "xb"]).select("rid", ranges.alias("ranges"))
         .groupBy("rid").agg(F.flatten(F.collect_set("ranges")).alias("starts"))
     )
-    return texts.select("rid", "id", "text"), starts
+    return texts.select("rid", "id", "text"), keep(starts, "starts")
+
+
+def _bits(n: int) -> int:
+    """Bits of a filter for n keys: about 16 to a key, 64 MB at most."""
+    return min(1 << 29, max(1 << 20, 1 << (16 * max(1, n) - 1).bit_length()))
 
 
 def cut_text(raw: bytes, starts: list[dict], length: int = LENGTH) -> tuple[bytes, int]:
@@ -234,7 +251,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
     texts, starts = repeated_starts(docs, id_col, text_col, length)
     # equal rows share a rid and have equal results
-    changed = stage(removed(texts, starts, length).select(
+    changed = keep(removed(texts, starts, length).select(
         "rid", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).dropDuplicates(["rid"]), "removed")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     whole = _keyed(docs, id_col, text_col).select(
@@ -244,6 +261,33 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents (doc_id, text, lang, source, n_chars) without the repeated bytes; n_chars is counted anew.
+
+    Where a cut goes through a character, what is left of it goes too. Every row stays, with an empty
+    text if nothing is left.
+    """
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    texts, starts = repeated_starts(docs, length=length)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), *columns)
+    same, other = parted(rows, starts, "rid")
+
+    def run(batches):
+        for b in _slices(batches):
+            kept = []
+            for text, ranges in zip(b.column(1).to_pylist(), b.column(5).to_pylist()):
+                if ranges is None:
+                    kept.append(text)
+                else:
+                    kept.append(cut_text((text or "").encode(), ranges, length)[0].decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), *b.columns[2:5]], names=columns)
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    cut = other.join(starts, "rid", "left").select(*columns, "starts").mapInArrow(run, kinds)
+    return same.select(*columns).unionByName(cut).withColumn(
+        "n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+
+
 def op8_suffix_dedup(spark, folder: str) -> DataFrame:
     """All documents without the 200-byte strings that also start elsewhere."""
     return digests(spark.read.parquet(f"{folder}/documents.parquet"))
