@@ -274,6 +274,24 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
                            ).withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, same) of documents: ``same`` says that the ids decode to the text."""
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang", "source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path, pattern)
+        for b in _slices(batches):
+            texts = b.column(3).to_pylist()
+            packed = list(encode_texts(texts, vocab))
+            same = [decode_ids(p, vocab) == (t or "").encode() for p, t in zip(packed, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()),
+                 pa.array(same, pa.bool_())], names=["doc_id", "lang", "source", "n_tokens", "ids", "same"])
+
+    return docs.select("doc_id", "lang", "source", "text").mapInArrow(
+        run, f"{kinds}, n_tokens long, ids binary, same boolean")
+
+
 def op7_byte_bpe(spark, folder: str) -> DataFrame:
     """All documents through the public multilingual 50k byte-level vocabulary and back."""
     import public_tokenizers as public

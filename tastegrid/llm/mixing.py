@@ -14,8 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from tastegrid.llm.common import GAP, draw, n_words
-from tastegrid.session import stage
+from tastegrid.llm.common import GAP, draw, keep, n_words
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
@@ -96,7 +95,7 @@ def plan(recs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     sizes = recs.groupBy("source").agg(F.sum("size").alias("source_size"))
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     asked = F.when(F.col("source_size") > 0, F.round(blocks * F.col("target") / F.col("source_size"))).otherwise(0)
-    sources = stage(
+    sources = keep(
         targets(sizes, share, cap, weights)
         .withColumn("n_blocks", blocks).withColumn("n_slots", asked.cast("long"))
         .withColumn("first_slot", F.coalesce(F.sum("n_slots").over(
@@ -104,7 +103,7 @@ def plan(recs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
         .coalesce(1), "mix-sources")  # one row per source
     n_slots = sources.agg(F.sum("n_slots")).first()[0] or 0
 
-    placed = stage(
+    placed = keep(
         recs.join(sources.select(F.col("source").alias("_s"), "source_no", "source_size", "target", "n_blocks"),
                   F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         .withColumn("part", (draw("id", "crc") % PARTS).cast("int")), "mix-records")
@@ -212,6 +211,6 @@ def mixed_documents(docs: DataFrame, stream: DataFrame, slots: DataFrame,
 def op2_mixing(spark, folder: str) -> DataFrame:
     """The default mix of all documents: what it takes of each."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    stream, slots = plan(stage(records(docs), "mix-sizes"))
+    stream, slots = plan(keep(records(docs), "mix-sizes"))
     return taken_words(stream, slots).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

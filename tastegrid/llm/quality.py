@@ -16,8 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tastegrid.llm.common import words
-from tastegrid.session import stage
+from tastegrid.llm.common import keep, words
 
 MIN_DOCS = 50
 STEPS = 3
@@ -33,16 +32,19 @@ FEATURES = ("x0", "x1", "x2", "x3")
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
+               keys: tuple[str, str] = ("lang", "source"), carry: Column | None = None) -> DataFrame:
     """(id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of every row.
 
+    ``carry`` is a column that goes along, as ``_carry``.
+
     A null or empty text has zeros and fails. Windows of three words are compared by a 64-bit hash
     within their text; they are sorted once, so a long text costs n log n.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    more = [] if carry is None else [carry.alias("_carry")]
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(keys[0]).alias("lang"), F.col(keys[1]).alias("source"),
+        F.col(id_col).alias("id"), F.col(keys[0]).alias("lang"), F.col(keys[1]).alias("source"), *more,
         words(text_col).alias("_w"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         lines.alias("_lines"))
@@ -60,7 +62,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3)))),
         F.lit(0), lambda a, x: a + x)
     out = rows.select(
-        "id", "lang", "source", F.size(w).cast("long").alias("n_words"),
+        "id", "lang", "source", *[c for c in ("_carry",) if more], F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
@@ -77,14 +79,17 @@ def _features(stats: DataFrame) -> DataFrame:
         for r, x in zip(raw, FEATURES)])
 
 
-def _pooled(rows: DataFrame) -> DataFrame:
-    """Rows with ``grp``: language and source, or the pool that small groups fall into."""
+def _groups(rows: DataFrame) -> DataFrame:
+    """(_l, _s, grp) of every language and source: the two, or the pool that small groups fall into."""
     name = lambda *c: F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), x), F.lit("")) for x in c])
     counts = rows.groupBy(F.col("lang").alias("_l"), F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     small = counts.filter(F.col("_n") < MIN_DOCS).groupBy(F.col("_l").alias("_l2")).agg(F.sum("_n").alias("_n2"))
-    groups = stage(counts.join(small, F.col("_l").eqNullSafe(F.col("_l2")), "left").select(
+    return keep(counts.join(small, F.col("_l").eqNullSafe(F.col("_l2")), "left").select(
         "_l", "_s", F.when(F.col("_n") >= MIN_DOCS, name(F.col("_l"), F.col("_s")))
         .when(F.col("_n2") >= MIN_DOCS, name(F.col("_l"))).otherwise(F.lit("")).alias("grp")), "groups")
+
+
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
 
 
@@ -135,19 +140,27 @@ def _bin(d: Column) -> Column:
 def estimates(rows: DataFrame) -> DataFrame:
     """The reweighted minimum-covariance-determinant estimate of every ``grp`` of rows with FEATURES."""
     half = F.lit(0.5)
-    middle = stage(rows.groupBy("grp").agg(*[F.percentile(x, half).alias(f"m{i}") for i, x in enumerate(FEATURES)]), "medians")
+    middle = keep(rows.groupBy("grp").agg(*[F.percentile(x, half).alias(f"m{i}") for i, x in enumerate(FEATURES)]), "medians")
     spread = rows.join(middle, "grp").groupBy("grp").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(FEATURES))],
         *[F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), half).alias(f"d{i}") for i, x in enumerate(FEATURES)])
     start = spread.select("grp", *[f"m{i}" for i in range(len(FEATURES))], *[
         (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}")
         for i in range(len(FEATURES)) for j in range(i + 1)])
-    now = stage(_factored(start), "start")
+    now = keep(_factored(start), "start")
     for _ in range(STEPS):
         far = _distance(rows, now, "d").withColumn("bin", _bin(F.col("d")))
-        cut = stage(far.groupBy("grp").agg(F.percentile("bin", half).alias("cut")), "cut")
-        now = stage(_estimate(far.join(cut, "grp").filter("bin <= cut"), HALF_CONSISTENCY), "half")
-    return stage(_estimate(_distance(rows, now, "d").filter(F.col("d") <= WEIGHED_IN), 1.0), "reweighted")
+        cut = keep(far.groupBy("grp").agg(F.percentile("bin", half).alias("cut")), "cut")
+        now = keep(_estimate(far.join(cut, "grp").filter("bin <= cut"), HALF_CONSISTENCY), "half")
+    return keep(_estimate(_distance(rows, now, "d").filter(F.col("d") <= WEIGHED_IN), 1.0), "reweighted")
+
+
+def fitted(stats: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, groups, estimates) of written :func:`statistics`: what passes the base rules, grouped, and the fits."""
+    passed = _features(stats.filter(~F.col("base_failed")))
+    groups = _groups(passed)
+    rows = keep(_grouped(passed, groups), "features")
+    return rows, groups, estimates(rows)
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -157,28 +170,26 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Estimates are made of the documents that pass the base rules. An empty table gives no rows; null
     languages and sources are groups of their own.
     """
-    stats = stage(statistics(docs, id_col, text_col, keys), "statistics")
-    rows = stage(_pooled(_features(stats.filter(~F.col("base_failed")))), "features")
-    passed = _distance(rows, estimates(rows), "distance").withColumn("kept", F.col("distance") <= CUTOFF)
+    stats = keep(statistics(docs, id_col, text_col, keys), "statistics")
+    rows, _, fits = fitted(stats)
+    passed = _distance(rows, fits, "distance").withColumn("kept", F.col("distance") <= CUTOFF)
     failed = stats.filter("base_failed").select("*", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return passed.select(*failed.columns).unionByName(failed)
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """The documents that the rules keep, with their own columns.
 
-    Rows that share an id are judged apart: the verdict is looked up by id and the statistics that a
-    text has of itself.
+    The statistics are made twice: once for the estimates, and once more along with the rows, which meet
+    the estimates of their group only. So no text is moved, and rows that share an id are judged apart.
     """
-    own = [F.col(c).alias(c) for c in docs.columns]
-    ok = judged(docs, id_col, text_col).filter("kept").select(
-        F.col("id").alias("_id"), F.col("n_words").alias("_n"), F.col("word_chars").alias("_chars"),
-        F.col("lang").alias("_lang"), F.col("source").alias("_source")).distinct()
-    w = words(F.col(text_col))
-    return docs.withColumn("_w", w).join(
-        ok, F.col(id_col).eqNullSafe(F.col("_id")) & (F.size("_w") == F.col("_n"))
-        & (F.length(F.array_join("_w", "")) == F.col("_chars"))
-        & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left_semi").select(*own)
+    _, groups, fits = fitted(keep(statistics(docs, id_col, text_col, keys), "statistics"))
+    rows = statistics(docs, id_col, text_col, keys, F.struct(*[F.col(c) for c in docs.columns]))
+    rows = _distance(_grouped(_features(rows), groups), fits, "distance")
+    # the whole condition needs the estimates: parts of it would be pushed down into the text functions
+    ok = F.when(F.col("base_failed"), F.lit(None)).otherwise(F.col("distance")) <= CUTOFF
+    return rows.filter(ok).select("_carry.*")
 
 
 def op1_quality_rules(spark, folder: str) -> DataFrame:
