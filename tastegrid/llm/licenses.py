@@ -13,6 +13,9 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tastegrid.llm.common import GAP
@@ -63,10 +66,25 @@ def _bands(shingles: Column) -> Column:
 
 
 def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(template, size, wanted): the number of words and the distinct shingles of every template."""
+    """(template, words, size, wanted): the words, their number and the distinct shingles of every template."""
     rows = spark.createDataFrame(sorted(texts.items()), "template string, body string")
     words = license_words("body")
-    return rows.select("template", F.size(words).alias("size"), F.array_distinct(_shingles(words)).alias("wanted"))
+    return rows.select("template", words.alias("words"), F.size(words).alias("size"),
+                       F.array_distinct(_shingles(words)).alias("wanted"))
+
+
+def telling_words(words: list[str]) -> set[str]:
+    """Words of a template, the longest first, of which a text that contains enough of it holds at least one.
+
+    A text may miss a share of the distinct shingles; the words returned are in more shingles than that.
+    """
+    pairs = {tuple(words[i:i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
+    out: set[str] = set()
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        if sum(any(x in out for x in p) for p in pairs) * 100 > (100 - CONTAINED) * len(pairs):
+            break
+        out.add(w)
+    return out
 
 
 def scanned(docs: DataFrame, texts: dict[str, str] = TEMPLATES, id_col: str = "doc_id",
@@ -81,11 +99,14 @@ def scanned(docs: DataFrame, texts: dict[str, str] = TEMPLATES, id_col: str = "d
     known = templates(spark, texts).collect()  # the given templates
     wanted = sorted({s for r in known for s in r["wanted"]})
     sizes = sorted({r["size"] for r in known})
-    rows = docs.select(F.col(id_col).alias("id"), license_words(text_col).alias("_w")).withColumn("_h", _shingles(F.col("_w")))
+    # most texts hold no word that a match needs, and are not taken apart
+    needed = sorted(set().union(*[telling_words(r["words"]) for r in known]))
+    # (as an element of an array the lower-cased text is made once, not for every word)
+    may = F.exists(F.array(F.lower(F.col(text_col))), lambda t: reduce(or_, [t.contains(w) for w in needed]))
+    rows = docs.filter(may).select(F.col(id_col).alias("id"), license_words(text_col).alias("_w")).withColumn("_h", _shingles(F.col("_w")))
     # where a template's shingle stands
     hits = F.filter(F.transform("_h", lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
-    # no filter on the hits: it would be pushed down and evaluate the words anew for every shingle.
-    # Exploding the windows drops texts without hits.
+    # no filter on the hits: it would be pushed down and make the words anew for every shingle. Exploding the windows drops texts without hits.
     near = rows.select("id", "_h", hits.alias("_hits"))
     # windows of two lengths at every length, for each length that templates have
     spans = F.array_distinct(F.flatten(F.array(*[
