@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,11 +39,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     them (what ``spark.cleaner.periodicGC.interval`` does every half hour); a job of many written steps
     asks for it after each, so that it never holds the files of more than one.
     """
-    out = stage(df, name)
     jvm = getattr(df.sparkSession.sparkContext, "_jvm", None)
+    out = stage(df, name)
+    del df  # else it keeps its plan
     if jvm is not None:
         gc.collect()
-        jvm.System.gc()
+        for _ in range(2):  # listeners still hold the plan for a moment
+            jvm.System.gc()
+            time.sleep(0.7)
     return out
 
 
