@@ -15,13 +15,14 @@ from tastegrid.roles import Roles
 
 DEFAULT = Roles()
 DIGITS = 6
-OFFERS = 20
 
 
 def rated_lists(
     train: DataFrame, n: int, how: str = "top", roles: Roles = DEFAULT, seed: int = SEED
 ) -> DataFrame:
     """n ratings per user, numbered ``rank``: best rated, first in time, or random."""
+    if how == "first" and roles.ts not in train.columns:
+        raise ValueError(f"ratings in order of time need the column {roles.ts}")
     order = {
         "top": [F.col(roles.rating).desc(), F.col(roles.item)],
         "first": [F.col(roles.ts), F.col(roles.item)] if roles.ts in train.columns else None,
@@ -131,13 +132,12 @@ def predict_item_knn(
 
 
 def recommend_from_neighbors(
-    rated: DataFrame, neighbors: DataFrame, n: int = 4, offers: int = OFFERS,
-    roles: Roles = DEFAULT,
+    rated: DataFrame, neighbors: DataFrame, n: int = 4, roles: Roles = DEFAULT,
 ) -> DataFrame:
-    """Best ``n`` items that the user has not rated, out of each neighbour's ``offers``
-    best rated, by the summed similarity of the neighbours offering them."""
+    """Best ``n`` items that the user has not rated, by the summed similarity of the
+    neighbours who rated them. Every rating of a neighbour counts."""
     user, item = roles.user, roles.item
-    offered = neighbor_ratings(neighbors, rated, offers, "top", roles)
+    offered = neighbor_ratings(neighbors, rated, how="all", roles=roles)
     scores = offered.groupBy(user, item).agg(F.round(F.sum("sim"), DIGITS).alias("score"))
     fresh = scores.join(rated.select(user, item), [user, item], "left_anti")
     return top_k(fresh, [user], [F.col("score").desc(), F.col(item)], n)

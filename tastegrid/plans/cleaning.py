@@ -283,10 +283,10 @@ def flag_failed(spark, d):
 # --- rating text dialects ------------------------------------------------------------
 
 ANSWERS = """answers AS (SELECT user_id, item_id, CASE item_id % 9
-  WHEN 0 THEN '(' || rating || ' stars, 80%)' WHEN 1 THEN CAST(CAST(rating AS INTEGER) AS VARCHAR)
+  WHEN 0 THEN '(' || rating || ' stars, 80%)' WHEN 1 THEN CAST(CAST(trunc(rating) AS INTEGER) AS VARCHAR)
   WHEN 2 THEN 'I would give it a rating ' || rating WHEN 3 THEN 'it would be ' || rating || ' for me'
   WHEN 4 THEN '2.82 Fluid Ounce, ' || rating || ' stars' WHEN 5 THEN '7 stars'
-  WHEN 6 THEN CAST(CAST(rating AS INTEGER) AS VARCHAR) || ' Star' WHEN 7 THEN 'no idea'
+  WHEN 6 THEN CAST(CAST(trunc(rating) AS INTEGER) AS VARCHAR) || ' Star' WHEN 7 THEN 'no idea'
   ELSE CAST(rating AS VARCHAR) END AS answer FROM ratings)"""
 
 
@@ -302,12 +302,11 @@ def answers(spark, d):
         .when(kind == 5, "7 stars").when(kind == 6, F.concat(whole, F.lit(" Star")))
         .when(kind == 7, "no idea").otherwise(r)
     )
-    exact = T.ratings(spark, d).filter(F.col("rating") == F.floor("rating"))
-    return exact.select("user_id", "item_id", text.alias("answer"))
+    return T.ratings(spark, d).select("user_id", "item_id", text.alias("answer"))
 
 
 def _dialect(name: str, dialect: str, value: str, low: float, high: float):
-    sql = f"""WITH {RATINGS.replace('GROUP BY 1, 2', 'GROUP BY 1, 2 HAVING avg(rating) = floor(avg(rating))')}, {ANSWERS},
+    sql = f"""WITH {RATINGS}, {ANSWERS},
 parsed AS (SELECT user_id, item_id, answer, TRY_CAST({value} AS DOUBLE) AS v FROM answers)
 SELECT user_id, item_id, CASE WHEN v BETWEEN {low} AND {high} THEN v END AS parsed FROM parsed"""
 

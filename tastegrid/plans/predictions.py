@@ -97,9 +97,8 @@ def pred_item_knn(spark, d):
         "user_id", "item_id", "rating", "prediction")
 
 
-RECOMMEND = """best AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS rank FROM train),
-offered AS (SELECT nb.a AS user_id, r.item_id, """ + r6("sum(nb.sim)") + """ AS score
-  FROM user_nb nb JOIN best r ON r.user_id = nb.b AND rank <= 20 GROUP BY 1, 2),
+RECOMMEND = """offered AS (SELECT nb.a AS user_id, r.item_id, """ + r6("sum(nb.sim)") + """ AS score
+  FROM user_nb nb JOIN train r ON r.user_id = nb.b GROUP BY 1, 2),
 rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rn
   FROM offered o WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_id = o.user_id AND t.item_id = o.item_id))
   WHERE rn <= 10)"""
@@ -112,8 +111,8 @@ def recommend_knn(spark, d):
     return N.recommend_from_neighbors(train, user_neighbors(train, 4), 10)
 
 
-BIAS = f"""mu AS (SELECT avg(rating) AS mu FROM train),
-bu AS (SELECT user_id, avg(rating) - any_value(mu) AS b FROM train, mu GROUP BY 1),
+BIAS = f"""mu AS MATERIALIZED (SELECT avg(rating) AS mu FROM train),
+bu AS MATERIALIZED (SELECT user_id, avg(rating) - any_value(mu) AS b FROM train, mu GROUP BY 1),
 bi AS (SELECT item_id, avg(rating - mu - b) AS b FROM train JOIN bu USING (user_id), mu GROUP BY 1),
 bias AS (SELECT t.user_id, t.item_id, t.rating, {r6('mu + coalesce(bu.b, 0) + coalesce(bi.b, 0)')} AS baseline
   FROM test t LEFT JOIN bu ON bu.user_id = t.user_id LEFT JOIN bi ON bi.item_id = t.item_id, mu)"""
@@ -236,14 +235,14 @@ def ctx_grouped(spark, d):
 
 
 @query(f"""WITH {LOO}, {GROUPED},
-seen AS (SELECT a AS user_id, b, user_nb.rn, sim, item_id, rating FROM user_nb JOIN lists ON lists.user_id = b AND rank <= 20)
+seen AS (SELECT a AS user_id, b, user_nb.rn, sim, item_id, rating FROM user_nb JOIN train ON train.user_id = b)
 SELECT user_id, item_id, min(rating) AS lowest, max(rating) AS highest, count(*) AS n_neighbors,
   string_agg(b || '=' || rating || '=' || printf('%.6f', sim), '; ' ORDER BY rn) AS said
 FROM seen GROUP BY 1, 2 HAVING min(rating) < max(rating)""")
 def neighbor_conflicts(spark, d):
-    """Items that a user's neighbours rated differently, among their 20 best rated."""
+    """Items that a user's neighbours rated differently, over all their ratings."""
     train, _ = leave_one_out(spark, d)
-    return N.conflicts(N.neighbor_ratings(user_neighbors(train, 4), train, 20, "top"))
+    return N.conflicts(N.neighbor_ratings(user_neighbors(train, 4), train, how="all"))
 
 
 # --- scoring and repair -------------------------------------------------------------------

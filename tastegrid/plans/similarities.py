@@ -210,7 +210,7 @@ def knn_within(spark, d):
 
 @query()
 def knn_lsh(spark, d):
-    return VS.knn_lsh(T.vectors(spark, d), "vec_id", "vector", 5, 0.2)
+    return VS.knn_lsh(T.vectors(spark, d), "vec_id", "vector", 5, 0.2, bits=5)
 
 
 ITEM_VECS = """vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -262,6 +262,28 @@ def neighbor_random(spark, d):
         "user_id", "neighbor", "sim", "rn", "item_id", "rating", "rank")
 
 
+@query(f"""WITH {RATINGS}, {pair_cte('p', 'ratings', 'user', 2)},
+e AS (SELECT a, b, n_common, {WEIGHTED} AS sim FROM p WHERE {VARIES}), {top_cte('nb', 'e', 4)},
+lists AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS rank FROM ratings)
+SELECT a AS user_id, b AS neighbor, sim, CAST(rn AS INTEGER) AS rn, item_id, rating, CAST(rank AS INTEGER) AS rank
+FROM nb JOIN lists ON lists.user_id = b AND rank <= 3""")
+def neighbor_first(spark, d):
+    """Each neighbour's first ratings in time."""
+    r = ratings(spark, d)
+    return N.neighbor_ratings(user_neighbors(r, 4), r, 3, "first").select(
+        "user_id", "neighbor", "sim", "rn", "item_id", "rating", "rank")
+
+
+@query(f"""WITH {RATINGS}, {pair_cte('p', 'ratings', 'user', 2)},
+e AS (SELECT a, b, n_common, {WEIGHTED} AS sim FROM p WHERE {VARIES}), {top_cte('nb', 'e', 4)}
+SELECT a AS user_id, b AS neighbor, sim, CAST(rn AS INTEGER) AS rn, item_id, rating FROM nb JOIN ratings ON user_id = b""")
+def neighbor_all(spark, d):
+    """Every rating of each neighbour."""
+    r = ratings(spark, d)
+    return N.neighbor_ratings(user_neighbors(r, 4), r, how="all").select(
+        "user_id", "neighbor", "sim", "rn", "item_id", "rating")
+
+
 BY_ITEM = f"""base AS (SELECT t.user_id, t.item_id AS target, b AS neighbor, sim, rn FROM test t JOIN user_nb ON a = t.user_id),
 cand AS (SELECT base.*, h.item_id, h.rating, i.sim AS item_sim FROM base
   JOIN train h ON h.user_id = neighbor LEFT JOIN item_nb i ON i.a = target AND i.b = h.item_id),

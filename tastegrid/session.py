@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,14 +27,17 @@ def make_session(app: str = "tastegrid", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for written tables and checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (single-machine tests) a fresh temporary folder is made and recorded in the
-    session so later calls reuse it.
+    A cluster names it in ``spark.checkpoint.dir``; without that a cluster has no such folder and
+    a ``ValueError`` says so. Only a local master (single-machine tests) gets a fresh temporary
+    folder, recorded in the session so that later calls reuse it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.conf.get("tastegrid.shared.dir", None)
     if named is None:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="tastegrid-")
         spark.conf.set("tastegrid.shared.dir", named)
         spark.sparkContext.setCheckpointDir(named)

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from tastegrid.plans import ORACLES, QUERIES
 from tests.oracle import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,13 +19,13 @@ def con():
 
 
 def test_only_known_queries_lack_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == NO_SQL
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, FOLDER, entry.queries()[name], entry.oracle_sql().get(name)) == []
+    assert compare(spark, con, FOLDER, QUERIES[name], ORACLES.get(name)) == []
 
 
 def test_entry(spark):
