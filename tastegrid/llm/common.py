@@ -46,7 +46,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         gc.collect()
         for _ in range(2):  # listeners still hold the plan for a moment
             jvm.System.gc()
-            time.sleep(0.7)
+            time.sleep(0.4)
     return out
 
 
