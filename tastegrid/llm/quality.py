@@ -71,7 +71,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _features(stats: DataFrame) -> DataFrame:
-    n = F.col("n_words").cast("double")
+    # a text without words, which the base rules drop, may come along here: nothing is divided by 0
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     raw = (F.log(F.col("word_chars") / n), F.log(1 + F.col("n_symbols") / n),
            F.sqrt(F.col("n_repeat_words") / n), F.sqrt(F.col("n_dup_lines") / n))
     return stats.select("*", *[

@@ -73,6 +73,20 @@ def test_outliers_go_and_the_rest_stays(spark, empty):
     assert quality.judged(empty).count() == 0
 
 
+def test_empty_texts_do_not_end_the_pipeline(spark):
+    """Null, empty and blank texts of a language and source that form a group, under ANSI arithmetic."""
+    import corpus_pipeline
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.randint(60, 300)), "en", "s", 0, "", 0, 0) for i in range(80)]
+    rows += [(100 + i, t, "en", "s", 0, "", 0, 0) for i, t in enumerate([None, "", " \n\t ", "one"])]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    want = {r.id for r in quality.judged(df).filter("kept").collect()}
+    assert want and max(want) < 80
+    assert {r.doc_id for r in quality.kept_documents(df).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, df, "").collect()} == want
+
+
 def test_estimate_is_the_weighted_one(spark):
     """With no floor to speak of, the start and the steps reach the covariance of the clean rows."""
     rng = np.random.default_rng(3)
