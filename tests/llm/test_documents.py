@@ -316,3 +316,24 @@ def test_licenses(spark, docs, empty):
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, "GPL-3.0"): 100, (2, "BSD-clause"): 100, (2, "MIT"): 100, (6, "Apache-2.0"): 100}
     assert licenses.scanned(docs).count() == 0 and licenses.scanned(empty).count() == 0
+
+
+def test_whole_licences_and_relatives(spark):
+    """Licences that no given table holds: whole texts get their own name, relatives are not taken for each other."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i, (name, body) in enumerate(sorted(licenses.TEXTS.items())):
+        rows.append((i, prose(rng, 90) + " " + body + " " + prose(rng, 40)))
+        want[i] = {name}
+    more = [("This work is licensed under a Creative Commons Attribution 4.0", "CC-BY-4.0"),
+            ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+            ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+            ("This work is licensed under the GNU General Public License, version 9.", None),
+            ("the license of this software is a copyright of the program", None)]
+    for i, (text, name) in enumerate(more, 100):
+        rows.append((i, prose(rng, 70) + " " + text + " " + prose(rng, 30)))
+        want[i] = {name} - {None}
+    got = {i: set() for i in want}
+    for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.id].add(r.template)
+    assert got == want
