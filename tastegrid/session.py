@@ -49,12 +49,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then removes the shuffle files of a query when the query is over, not when the driver collects garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several steps read, and read it back.
 
     Later steps then start from narrow columnar files: the work behind ``df`` runs once,
-    survives the loss of executors, and its size is known to the planner.
+    survives the loss of executors, and its size is known to the planner. Its shuffle files go
+    as soon as it is written.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
