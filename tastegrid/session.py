@@ -72,3 +72,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         else:
             spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of staged tables that nothing reads any more (an empty table takes their place)."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            path = files[0].rsplit("/", 1)[0]
+            table.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
