@@ -34,12 +34,12 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tastegrid.session import stage
+from tastegrid.session import drop, stage
 
 #: The end of a text as a word; words hold no white space. It is word 0 of every block.
 END = b"\n"
 #: Bytes of text in a block, unless one text is longer.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Words of all blocks in a part, by expectation.
 PART_WORDS = 1 << 19
 #: Words whose moves are worked out at once, and entries of contexts that wait to be summed.
@@ -54,6 +54,19 @@ def _array(value: pa.Scalar | bytes, kind: type) -> np.ndarray:
     return np.frombuffer(value if isinstance(value, bytes) else value.as_buffer() or b"", kind)
 
 
+def _thin(a: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers below 2^32 byte by byte, all first bytes first, so that files and shuffles compress them well;
+    of rising ones the steps."""
+    a = np.diff(a, prepend=0) if rising else a
+    return np.ascontiguousarray(a, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _thick(value: pa.Scalar, rising: bool = False) -> np.ndarray:
+    planes = _array(value, np.uint8).reshape(4, -1)
+    a = np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+    return np.cumsum(a) if rising else a
+
+
 # --- blocks --------------------------------------------------------------------------
 
 BLOCKS = "block long, ids array<long>, held binary, sizes binary, tokens binary, digests binary, uses binary"
@@ -72,7 +85,7 @@ def _block(number: int, ids: pa.Array, held: np.ndarray, texts: pa.Array) -> pa.
     tokens[np.arange(words.sum()) + np.repeat(np.arange(len(words)), words)] = coded.indices.to_numpy() + 1
     names = [END, *coded.dictionary.cast(pa.binary()).to_pylist()]
     uses = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(names)).astype(np.int64)
-    packed = _pack(held, sizes, tokens) + [b"".join(map(xxhash.xxh3_128_digest, names))] + _pack(uses)
+    packed = [held.tobytes(), _thin(sizes), _thin(tokens), b"".join(map(xxhash.xxh3_128_digest, names)), _thin(uses)]
     return pa.RecordBatch.from_arrays(
         [pa.array([number]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in packed]],
         names=["block", "ids", "held", "sizes", "tokens", "digests", "uses"])
@@ -130,11 +143,11 @@ def numbered_words(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, digests, uses in zip(*batch.columns):
-                d, n = _array(digests, ">u8").reshape(-1, 2), _array(uses, np.int64)
+                d, n = _array(digests, ">u8").reshape(-1, 2), _thick(uses)
                 part = (d[:, 1] % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable").astype(np.int32)
                 cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-                packed = [_pack(at, d[at], n[at]) for at in np.split(order, cuts[1:])]
+                packed = [(_thin(at, True), d[at].tobytes(), _thin(n[at])) for at in np.split(order, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(part[order][cuts]), pa.array([block.as_py()] * len(cuts), pa.int64()),
                     *[pa.array(x, pa.binary()) for x in zip(*packed)]], names=["part", "block", "at", "digests", "uses"])
@@ -142,7 +155,7 @@ def numbered_words(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def number(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         digests = [_array(x, ">u8").reshape(-1, 2).astype(np.uint64) for x in rows["digests"]]
-        d, n = np.concatenate(digests), np.concatenate([_array(x, np.int64) for x in rows["uses"]])
+        d, n = np.concatenate(digests), np.concatenate([_thick(x) for x in rows["uses"]])
         order = np.lexsort((d[:, 1], d[:, 0]))
         new = np.concatenate([[True], (d[order][1:] != d[order][:-1]).any(1)])
         place = np.empty(len(d), np.int32)
@@ -156,7 +169,7 @@ def numbered_words(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             "part": pa.array([rows["part"][0].as_py()] * (k + 1), pa.int32()),
             "block": pa.array([*rows["block"].to_pylist(), None], pa.int64()),
             "at": pa.array([*rows["at"].to_pylist(), None], pa.binary()),
-            "place": pa.array([*_pack(*np.split(place, cuts)), None], pa.binary()),
+            "place": pa.array([*map(_thin, np.split(place, cuts)), None], pa.binary()),
             "counts": pa.array([None] * k + _pack(counts), pa.binary()),
             "end": pa.array([None] * k + [int(end[0]) if len(end) else -1], pa.int32()),
         })
@@ -175,7 +188,7 @@ def told(slots: DataFrame, facts: DataFrame, **kinds: type) -> DataFrame:
     def run(of_blocks: pa.Table, of_part: pa.Table) -> pa.Table:
         known = {c: _array(of_part[c][0], kinds[c]) for c in names}
         for c in names:
-            column = [known[c][_array(p, np.int32)].tobytes() for p in of_blocks["place"]]
+            column = [known[c][_thick(p)].tobytes() for p in of_blocks["place"]]
             of_blocks = of_blocks.append_column(c, pa.array(column, pa.binary()))
         return of_blocks
 
@@ -183,11 +196,10 @@ def told(slots: DataFrame, facts: DataFrame, **kinds: type) -> DataFrame:
         run, "part int, block long, at binary, place binary, " + ", ".join(f"{c} binary" for c in names))
 
 
-def _spread(rows: pa.Table, name: str, kind: type) -> np.ndarray:
+def _spread(rows: pa.Table, values: list[np.ndarray]) -> np.ndarray:
     """One array over the words of a block from what its parts have told."""
-    at = np.concatenate([_array(x, np.int32) for x in rows["at"]])
-    out = np.empty(len(at), kind)
-    out[at] = np.concatenate([_array(x, kind) for x in rows[name]])
+    out = np.empty(sum(map(len, values)), values[0].dtype)
+    out[np.concatenate([_thick(x, True) for x in rows["at"]])] = np.concatenate(values)
     return out
 
 
@@ -252,8 +264,8 @@ def move_gains(pairs: np.ndarray, own: np.ndarray, before: np.ndarray, after: np
 
 #: Contexts are sums by key: place * classes + class, of the neighbours before (0) and after (1) the word;
 #: side 2 has the numbers of times that a word follows itself, by place * classes.
-SIDES = (0, 1, 2)
-CONTEXT = "part int, " + ", ".join(f"k{s} binary, n{s} binary" for s in SIDES)
+SIDES, CLASSES = (0, 1, 2), 3
+CONTEXT = "part int, " + ", ".join(f"k{s} binary, n{s} binary" for s in SIDES) + ", cls binary"
 
 
 def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,14 +282,14 @@ def contexts(texts: DataFrame, slots: DataFrame, current: DataFrame, classes: in
     def look(block: pa.Table, words: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if block.num_rows:
-            part = np.empty(sum(len(x.as_buffer()) for x in words["at"]) // 4, np.int32)
-            for p, at in zip(words["part"], words["at"]):
-                part[_array(at, np.int32)] = p.as_py()
-            place, cls = _spread(words, "place", np.int32), _spread(words, "cls", np.uint8).astype(np.int64)
-            tokens, sizes = _array(block["tokens"][0], np.int32), _array(block["sizes"][0], np.int32)
+            classes_of = [_array(x, np.uint8) for x in words["cls"]]
+            cls = _spread(words, classes_of).astype(np.int64)
+            place = _spread(words, [_thick(x) for x in words["place"]])
+            part = _spread(words, [np.full(len(x), p.as_py(), np.int32) for p, x in zip(words["part"], classes_of)])
+            tokens, sizes = _thick(block["tokens"][0]), _thick(block["sizes"][0])
             learn = np.repeat(~_array(block["held"][0], bool), sizes)
             before = np.concatenate([[0], tokens[:-1]])[learn]  # the first token of a text follows the end of another
-            tokens = tokens[learn].astype(np.int64)
+            tokens = tokens[learn]
             twice = tokens[tokens == before]
             for side, codes in zip(SIDES, (tokens * classes + cls[before], before * classes + cls[tokens], twice * classes)):
                 codes, n = np.unique(codes, return_counts=True)
@@ -285,10 +297,10 @@ def contexts(texts: DataFrame, slots: DataFrame, current: DataFrame, classes: in
                 order = np.argsort(part[at], kind="stable")
                 home = part[at[order]]
                 cuts = np.flatnonzero(np.diff(home, prepend=-1))
-                keys = (place[at].astype(np.int64) * classes + x)[order].astype(np.uint32)
-                n = n[order].astype(np.uint32)
-                out += [(home[lo], side, keys[lo:hi].tobytes(), n[lo:hi].tobytes())
-                        for lo, hi in zip(cuts, np.append(cuts[1:], len(home)))]
+                keys, n = (place[at] * classes + x)[order], n[order]
+                for lo, hi in zip(cuts, np.append(cuts[1:], len(home))):
+                    by = lo + np.argsort(keys[lo:hi])
+                    out.append((home[lo], side, _thin(keys[by], True), _thin(n[by])))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["part", "side", "k", "n"])
 
@@ -299,8 +311,9 @@ def contexts(texts: DataFrame, slots: DataFrame, current: DataFrame, classes: in
             row = [pa.array([part], pa.int32())]
             for s in SIDES:
                 k, n = _summed(*held[s]) if s in held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                row += [pa.array([x], pa.binary()) for x in _pack(k, n)]
-            return pa.RecordBatch.from_arrays(row, names=["part", *[f"{c}{s}" for s in SIDES for c in "kn"]])
+                row += [pa.array([x], pa.binary()) for x in (_thin(k, True), n.tobytes())]
+            row.append(pa.array([held[CLASSES]], pa.binary()))
+            return pa.RecordBatch.from_arrays(row, names=["part", *[f"{c}{s}" for s in SIDES for c in "kn"], "cls"])
 
         for batch in batches:
             for p, side, k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
@@ -308,9 +321,12 @@ def contexts(texts: DataFrame, slots: DataFrame, current: DataFrame, classes: in
                     yield flush()
                     held = {}
                 part = p
+                if side == CLASSES:
+                    held[side] = k.as_py()
+                    continue
                 keys, sums = held.setdefault(side, ([], []))
-                keys.append(_array(k, np.uint32).astype(np.int64))
-                sums.append(_array(n, np.uint32).astype(np.int64))
+                keys.append(_thick(k, True))
+                sums.append(_thick(n))
                 if len(keys) > 1 and sum(map(len, keys[1:])) > max(WAIT, len(keys[0])):
                     held[side] = tuple([x] for x in _summed(keys, sums))
         if part is not None:
@@ -319,22 +335,23 @@ def contexts(texts: DataFrame, slots: DataFrame, current: DataFrame, classes: in
     words = told(slots, current, cls=np.uint8)
     found = texts.select("block", "held", "sizes", "tokens").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
         look, "part int, side int, k binary, n binary")
-    return stage(found.repartition("part").sortWithinPartitions("part").mapInArrow(gather, CONTEXT), "contexts")
+    own = current.select("part", F.lit(CLASSES).alias("side"), F.col("cls").alias("k"), F.lit(None).cast("binary").alias("n"))
+    return stage(found.unionByName(own).repartition("part").sortWithinPartitions("part").mapInArrow(gather, CONTEXT), "contexts")
 
 
-def class_pairs(context: DataFrame, current: DataFrame, classes: int) -> np.ndarray:
+def class_pairs(context: DataFrame, classes: int) -> np.ndarray:
     """Numbers of class pairs; classes x classes values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(classes * classes, np.int64)
         for batch in batches:
             for k, n, cls in zip(*batch.columns):
-                place, x = np.divmod(_array(k, np.int64), classes)
+                place, x = np.divmod(_thick(k, True), classes)
                 np.add.at(table, x * classes + _array(cls, np.uint8)[place], _array(n, np.int64))
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
 
-    rows = context.join(current, "part").select("k0", "n0", "cls").mapInArrow(run, "cell long, n long").groupBy(
+    rows = context.select("k0", "n0", "cls").mapInArrow(run, "cell long, n long").groupBy(
         "cell").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(classes * classes, np.int64)
     for r in rows:
@@ -342,7 +359,7 @@ def class_pairs(context: DataFrame, current: DataFrame, classes: int) -> np.ndar
     return out.reshape(classes, classes)
 
 
-def exchange(context: DataFrame, current: DataFrame, pairs: np.ndarray, half: int) -> DataFrame:
+def exchange(context: DataFrame, pairs: np.ndarray, half: int) -> DataFrame:
     """(part, cls) after the moves of the words in ``half``; the end keeps class 0 to itself."""
     classes = len(pairs)
 
@@ -352,7 +369,7 @@ def exchange(context: DataFrame, current: DataFrame, pairs: np.ndarray, half: in
             moved = []
             for i in range(rows.num_rows):
                 cls = _array(rows["cls"][i], np.uint8).copy()
-                sides = [(_array(rows[f"k{s}"][i], np.int64), _array(rows[f"n{s}"][i], np.int64)) for s in SIDES]
+                sides = [(_thick(rows[f"k{s}"][i], True), _array(rows[f"n{s}"][i], np.int64)) for s in SIDES]
                 for lo in range(0, len(cls), CHUNK):
                     size = min(CHUNK, len(cls) - lo)
                     table = np.zeros((3, size * classes), np.int64)
@@ -372,7 +389,7 @@ def exchange(context: DataFrame, current: DataFrame, pairs: np.ndarray, half: in
                 moved.append(cls.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(moved, pa.binary())], names=["part", "cls"])
 
-    return context.join(current, "part").select(*context.columns, "cls").mapInArrow(run, "part int, cls binary")
+    return context.mapInArrow(run, "part int, cls binary")
 
 
 def first_classes(facts: DataFrame, classes: int) -> DataFrame:
@@ -452,12 +469,13 @@ def train(texts: DataFrame, slots: DataFrame, facts: DataFrame, classes: int = 6
     best, history = None, []
     for k in range(rounds + 1):
         context = contexts(texts, slots, current, classes)
-        pairs = class_pairs(context, current, classes)
+        pairs = class_pairs(context, classes)
         history.append(likelihood(pairs))
         if best is None or history[-1] > best[0]:
             best = history[-1], current, pairs
         if k < rounds:
-            current = stage(exchange(context, current, pairs, k % 2), "classes")
+            current = stage(exchange(context, pairs, k % 2), "classes")
+        drop(context)
     _, current, pairs = best
     return ClassModel(current, pairs.sum(0), transitions(pairs, totals[2]), totals[0], totals[1], history)
 
@@ -476,16 +494,16 @@ def class_scores(docs: DataFrame, held_out: Column, classes: int = 64, rounds: i
     sizes = np.append(model.sizes, 1)
 
     def score(block: pa.Table, words: pa.Table) -> pa.Table:
-        ids, held, n = block["ids"][0].values, _array(block["held"][0], bool), _array(block["sizes"][0], np.int32)
-        cls, c = _spread(words, "cls", np.uint8), _spread(words, "counts", np.int64)
+        ids, held, n = block["ids"][0].values, _array(block["held"][0], bool), _thick(block["sizes"][0])
+        cls, c = _spread(words, [_array(x, np.uint8) for x in words["cls"]]), _spread(words, [_array(x, np.int64) for x in words["counts"]])
         emission = np.where(c > 0, np.log10(np.maximum(c, 1) / sizes[cls]), 0)
-        at = _array(block["tokens"][0], np.int32)
+        at = _thick(block["tokens"][0])
         starts = np.cumsum(n) - n
         now = cls[at]
         before = np.concatenate([cls[:1], now[:-1]])
         total = lambda x: np.add.reduceat(x[at], starts)
         return pa.table({
-            "doc_id": ids, "held_out": pa.array(held), "n_tokens": pa.array(n.astype(np.int64)),
+            "doc_id": ids, "held_out": pa.array(held), "n_tokens": pa.array(n),
             "n_known": pa.array(total((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(n), tokens, np.int64)),
             "base_score": pa.array(total(np.log10((c + 1) / whole))),
             "score": pa.array(np.add.reduceat(transition[before, now] + emission[at], starts)),
