@@ -5,14 +5,17 @@
 "Key" and "feature" are user and item for user similarity, and the reverse for item
 similarity.
 
-Hot features. A feature rated by a third of all keys would put a quadratic number of
-pairs into the join, nearly all of them below the requested overlap or similarity.
-They are avoided exactly, by prefix filtering: put the features in one global order by
-popularity. If every feature two keys share lies in the most popular tail of one of
-them, and that tail alone cannot reach the requested bound, the pair cannot qualify.
-So each key's hot tail is left out when candidate pairs are formed, and its
-contribution is added afterwards, only for the pairs that were formed. The outcome is
-identical to the plain self-join; only features above ``hot_degree`` are affected.
+Block pairs. The raters of a feature are dealt into blocks of bounded size, and what is
+joined are blocks, not rows: (feature, i, j) for i < j, and each block with itself. A
+feature rated by a third of all keys thus becomes many equal pieces of work, and no row of
+the join stands for more than ``block`` squared pairs.
+
+Bounds. With a bound on the similarity, features are put in classes by popularity. If all
+that two keys share lies in the popular classes of one of them, and what that key has in
+these classes cannot reach the bound, the pair cannot either. So each key leaves these
+classes, its tail, out of the join. A pair that was found goes on if what it shares plus
+the smaller tail can reach the bound, and gets the tail's share added then. Only class
+sums by key are needed for this, never a key's rows in order.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tastegrid.session import stage
 
-HOT_DEGREE = 10_000
-MAX_TAIL = 64  # rows per key that may be left out of the candidate join
-TAIL_SLACK = 1e-9
+BLOCK = 512
+CLASSES_PER_DOUBLING = 4  # of a feature's popularity
+SLACK = 1e-9
 
 # sums over the shared features of a pair; x belongs to a, y to b
 SUMS = {
@@ -40,41 +43,71 @@ def _sums(names: tuple[str, ...]) -> list[Column]:
     ]
 
 
-def _self_pairs(rows: DataFrame) -> DataFrame:
-    left = rows.select("feature", F.col("key").alias("a"), F.col("x"))
-    right = rows.select("feature", F.col("key").alias("b"), F.col("x").alias("y"))
-    return left.join(right, "feature").filter(F.col("a") < F.col("b"))
+def packed(rows: DataFrame, payload: list[str], block: int = BLOCK) -> DataFrame:
+    """(feature, block, blocks, members): the keys of each feature, in blocks.
 
+    Blocks are drawn by hash and filled to half of ``block`` by expectation.
+    """
+    half = max(1, block // 2)
+    large = (
+        rows.groupBy("feature").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > half)
+        .select("feature", F.ceil(F.col("_n") / half).cast("int").alias("blocks"))
+    )
+    dealt = rows.join(large, "feature", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return (
+        dealt.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .groupBy("feature", "block", "blocks")
+        .agg(F.sort_array(F.collect_list(F.struct("key", *payload))).alias("members"))
+    )
 
-def hot_tail(
-    rows: DataFrame,
-    hot: DataFrame,
-    min_common: int,
-    min_cosine: float | None,
-    min_jaccard: float | None,
-) -> DataFrame:
-    """(key, feature, x) rows that may be left out of the candidate join.
 
-    A row is in the tail when the features of its key that are at least as popular
-    cannot by themselves reach the bound: fewer than ``min_common`` of them, or a
-    squared norm share below ``min_cosine``², or a count below ``min_jaccard`` * size.
+def block_pairs(rows: DataFrame, payload: list[str], block: int = BLOCK) -> DataFrame:
+    """(l, r): structs of two different keys that share a feature, the smaller key as ``l``;
+    a row for each feature that they share. ``rows`` is unique on (key, feature)."""
+    blocks = packed(rows, payload, block)
+    within = blocks.select("members", F.posexplode("members").alias("_i", "l")).select(
+        "l", F.explode(F.expr("slice(members, _i + 2, size(members))")).alias("r")
+    )
+    many = blocks.filter(F.col("blocks") > 1)
+    first = many.filter(F.col("block") < F.col("blocks") - 1).select(
+        "feature", F.col("block").alias("i"), F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("j"),
+        F.col("members").alias("of_i"),
+    )
+    second = many.filter(F.col("block") > 0).select(
+        "feature", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"),
+        F.col("members").alias("of_j"),
+    )
+    across = (
+        first.join(second, ["feature", "i", "j"]).select(F.explode("of_i").alias("p"), "of_j")
+        .select("p", F.explode("of_j").alias("q"))
+    )
+    ahead = F.col("p.key") < F.col("q.key")
+    across = across.select(
+        F.when(ahead, F.col("p")).otherwise(F.col("q")).alias("l"),
+        F.when(ahead, F.col("q")).otherwise(F.col("p")).alias("r"),
+    )
+    return within.unionByName(across)
+
+
+def popularity_tails(rows: DataFrame, need: Column, weight: Column) -> DataFrame:
+    """Adds ``last`` and ``tail`` to rows (key, feature, size, ...).
+
+    ``last`` is the most popular class of features that the key must be found by, ``tail``
+    what it has beyond (the sum of ``weight``), which is below ``need``.
     """
-    order = [F.col("degree").desc(), F.col("feature").desc()]
-    w = W.partitionBy("key").orderBy(*order)
-    top = (
-        rows.join(hot, "feature")
-        .withColumn("rn", F.row_number().over(w))
-        .filter(F.col("rn") <= MAX_TAIL)
+    degree = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("_d"))
+    cls = F.floor(F.log2("_d") * CLASSES_PER_DOUBLING).cast("int")
+    classed = rows.join(degree.select("feature", cls.alias("cls")), "feature")
+    by_class = classed.groupBy("key", "cls").agg(F.sum(weight).alias("_w"), F.first(need).alias("_need"))
+    # a key has a row per class here, whatever the number of its features
+    above = W.partitionBy("key").orderBy(F.desc("cls")).rowsBetween(W.unboundedPreceding, 0)
+    reached = by_class.withColumn("_sum", F.sum("_w").over(above))
+    found = F.col("_sum") >= F.col("_need") - SLACK
+    ends = reached.groupBy("key").agg(
+        F.max(F.when(found, F.col("cls"))).alias("last"),
+        F.coalesce(F.max(F.when(~found, F.col("_sum"))), F.lit(0)).cast("double").alias("tail"),
     )
-    fits = F.col("rn") < F.lit(min_common)
-    if min_cosine:
-        norm_share = F.sum(F.col("x") * F.col("x")).over(w.rowsBetween(W.unboundedPreceding, 0))
-        top = top.withColumn("share", norm_share)
-        fits = fits | (F.col("share") < F.lit(min_cosine**2 - TAIL_SLACK))
-    if min_jaccard:
-        top = top.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
-        fits = fits | (F.col("rn") < F.col("size") * F.lit(min_jaccard) - TAIL_SLACK)
-    return top.filter(fits).select("key", "feature", "x")
+    return classed.join(ends, "key").withColumn("last", F.coalesce("last", F.lit(-1)))
 
 
 def co_rating_sums(
@@ -83,47 +116,66 @@ def co_rating_sums(
     feature: str,
     value: Column | str,
     min_common: int = 2,
-    min_cosine: float | None = None,
-    min_jaccard: float | None = None,
     sums: tuple[str, ...] = MOMENTS,
-    hot_degree: int = HOT_DEGREE,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Pairs (a, b, n_common) with the chosen ``sums``; input unique on (key, feature).
-
-    ``min_cosine`` (on rows whose values are scaled to length 1 per key) and
-    ``min_jaccard`` only prune candidates; the caller still applies its own threshold.
-    """
+    """Pairs (a, b, n_common) with the chosen ``sums``; input unique on (key, feature)."""
     value = F.col(value) if isinstance(value, str) else value
     rows = ratings.select(
         F.col(key).alias("key"), F.col(feature).alias("feature"), value.cast("double").alias("x")
     )
-    degree = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("degree"))
-    hot = degree.filter(F.col("degree") > hot_degree)
-    enough = F.col("n_common") >= min_common
-    prunes = min_common > 1 or min_cosine or min_jaccard
-    if not prunes or hot.isEmpty():
-        return _self_pairs(rows).groupBy("a", "b").agg(*_sums(sums)).filter(enough)
-
-    # both tables are read several times below
-    tail = stage(hot_tail(rows, hot, min_common, min_cosine, min_jaccard), "hot-tail")
-    core = rows.join(tail.select("key", "feature"), ["key", "feature"], "left_anti")
-    base = stage(_self_pairs(core).groupBy("a", "b").agg(*_sums(sums)), "core-pairs")
-    pairs = base.select("a", "b")
-
-    def side(rows_: DataFrame, key_name: str, value_name: str) -> DataFrame:
-        return rows_.select(
-            F.col("key").alias(key_name), "feature", F.col("x").alias(value_name)
-        )
-
-    tail_of_a = pairs.join(side(tail, "a", "x"), "a").join(side(rows, "b", "y"), ["b", "feature"])
-    tail_of_b = pairs.join(side(tail, "b", "y"), "b").join(side(core, "a", "x"), ["a", "feature"])
-    cols = ["a", "b", "x", "y"]
-    added = (
-        tail_of_a.select(*cols).unionByName(tail_of_b.select(*cols))
-        .groupBy("a", "b").agg(*_sums(sums))
-    )
-    return (
-        base.unionByName(added).groupBy("a", "b")
-        .agg(*[F.sum(c).alias(c) for c in ("n_common", *sums)])
-        .filter(enough)
+    pairs = block_pairs(rows, ["x"], block).select(
+        F.col("l.key").alias("a"), F.col("l.x").alias("x"), F.col("r.key").alias("b"), F.col("r.x").alias("y")
     )
+    return pairs.groupBy("a", "b").agg(*_sums(sums)).filter(F.col("n_common") >= min_common)
+
+
+def bounded_pairs(rows: DataFrame, kind: str, min_sim: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, n_common, sxy, na, nb) of all pairs (a < b) that can reach ``min_sim``, and of few others.
+
+    ``rows``: (key, feature, x, size), unique on (key, feature). ``kind`` "jaccard" compares
+    sets of ``size`` features; "cosine" takes x as a component of a vector of length 1.
+    ``na`` and ``nb`` are the sizes.
+    """
+    if kind == "jaccard":
+        need, weight = F.ceil(F.col("size") * min_sim - SLACK).cast("double"), F.lit(1.0)
+    elif kind == "cosine":
+        need, weight = F.lit(min_sim**2), F.col("x") * F.col("x")
+    else:
+        raise ValueError(f"unknown kind: {kind}")
+    placed = stage(popularity_tails(rows, need, weight), "popularity-tails")
+    front = placed.filter(F.col("cls") <= F.col("last"))
+    found = block_pairs(front, ["x", "size", "last", "tail"], block)
+    if kind == "jaccard":  # sizes too far apart
+        found = found.filter(
+            (F.col("l.size") >= F.col("r.size") * min_sim - SLACK) & (F.col("r.size") >= F.col("l.size") * min_sim - SLACK))
+    # what a pair shares beyond the earlier end lies in the tail of the key whose end that is
+    short = F.when(F.col("l.last") < F.col("r.last"), F.col("l.tail")).when(
+        F.col("r.last") < F.col("l.last"), F.col("r.tail")).otherwise(F.least("l.tail", "r.tail"))
+    seen = found.select(
+        F.col("l.key").alias("a"), F.col("r.key").alias("b"), F.col("l.x").alias("x"), F.col("r.x").alias("y"),
+        F.col("l.size").alias("na"), F.col("r.size").alias("nb"), short.alias("short"),
+        (F.col("l.last") <= F.col("r.last")).alias("a_ends"),
+    ).groupBy("a", "b").agg(
+        *_sums(("sxy",)), *[F.first(c).alias(c) for c in ("na", "nb", "short", "a_ends")])
+    if kind == "jaccard":
+        top = F.col("n_common") + F.col("short")
+        seen = seen.filter(top >= (F.col("na") + F.col("nb")) * (min_sim / (1 + min_sim)) - SLACK)
+    else:  # the rest is at most the tail's length, as the other key's vector has length 1
+        seen = seen.filter(F.col("sxy") + F.sqrt("short") >= min_sim - SLACK)
+    seen = stage(seen, "bounded-pairs")
+    whole, open_ = seen.filter("short = 0"), seen.filter("short > 0")
+
+    def side(frame: DataFrame, name: str, value: str) -> DataFrame:
+        return frame.select(F.col("key").alias(name), "feature", F.col("x").alias(value))
+
+    beyond = placed.filter(F.col("cls") > F.col("last"))
+    of_a = open_.filter("a_ends").select("a", "b").join(side(beyond, "a", "x"), "a").join(
+        side(placed, "b", "y"), ["b", "feature"])
+    of_b = open_.filter("NOT a_ends").select("a", "b").join(side(beyond, "b", "y"), "b").join(
+        side(placed, "a", "x"), ["a", "feature"])
+    cols, kept = ["a", "b", "x", "y"], ["a", "b", "n_common", "sxy", "na", "nb"]
+    added = of_a.select(*cols).unionByName(of_b.select(*cols)).groupBy("a", "b").agg(*_sums(("sxy",)))
+    more = open_.select(*kept).unionByName(added, allowMissingColumns=True).groupBy("a", "b").agg(
+        F.sum("n_common").alias("n_common"), F.sum("sxy").alias("sxy"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return whole.select(*kept).unionByName(more)

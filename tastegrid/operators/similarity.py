@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.constants import DELTA, EPSILON, VALID_NEIGHBOR_THRESHOLD
 from tastegrid.functions import vectors as V
-from tastegrid.operators.pairs import HOT_DEGREE, co_rating_sums
+from tastegrid.operators.pairs import BLOCK, bounded_pairs, co_rating_sums
 from tastegrid.operators.ranking import top_k
 from tastegrid.roles import Roles
 
@@ -63,11 +63,11 @@ def _moments() -> tuple[Column, Column, Column]:
 
 def pearson(
     df: DataFrame, roles: Roles = DEFAULT, axis: str = "user",
-    min_common: int = 2, hot_degree: int = HOT_DEGREE,
+    min_common: int = 2, block: int = BLOCK,
 ) -> DataFrame:
     """Pearson over co-rated features. One shared feature gives 0, so 2 loses nothing."""
     key, feature = _axis(roles, axis)
-    pairs = co_rating_sums(df, key, feature, roles.rating, min_common, hot_degree=hot_degree)
+    pairs = co_rating_sums(df, key, feature, roles.rating, min_common, block=block)
     num, vx, vy = _moments()
     sim = F.when((vx > FLAT) & (vy > FLAT), num / (F.sqrt(vx) * F.sqrt(vy) + EPSILON))
     return _edges(pairs, sim.otherwise(0.0))
@@ -75,11 +75,11 @@ def pearson(
 
 def weighted_pearson(
     df: DataFrame, roles: Roles = DEFAULT, axis: str = "user", delta: int = DELTA,
-    min_common: int = 2, hot_degree: int = HOT_DEGREE,
+    min_common: int = 2, block: int = BLOCK,
 ) -> DataFrame:
     """Pearson times ``min(n, delta) / delta``; pairs without variance are left out."""
     key, feature = _axis(roles, axis)
-    pairs = co_rating_sums(df, key, feature, roles.rating, min_common, hot_degree=hot_degree)
+    pairs = co_rating_sums(df, key, feature, roles.rating, min_common, block=block)
     num, vx, vy = _moments()
     sim = num / (F.sqrt(vx) * F.sqrt(vy)) * F.least(F.col("n_common"), F.lit(delta)) / delta
     return _edges(pairs.filter((vx > FLAT) & (vy > FLAT)), sim)
@@ -87,7 +87,7 @@ def weighted_pearson(
 
 def global_mean_pearson(
     df: DataFrame, roles: Roles = DEFAULT, axis: str = "item", delta: int = DELTA,
-    min_common: int = 1, min_sim: float = 0.0, hot_degree: int = HOT_DEGREE,
+    min_common: int = 1, min_sim: float = 0.0, block: int = BLOCK,
 ) -> DataFrame:
     """Pearson around each key's overall mean, significance-weighted.
 
@@ -101,7 +101,7 @@ def global_mean_pearson(
     dev = df.join(means, key).select(roles.user, roles.item, (r - F.col("_mean")).alias("_dev"))
     overlap = max(min_common, math.ceil(min_sim * delta - FLAT))
     pairs = co_rating_sums(
-        dev, key, feature, "_dev", overlap, sums=("sxx", "syy", "sxy"), hot_degree=hot_degree
+        dev, key, feature, "_dev", overlap, sums=("sxx", "syy", "sxy"), block=block
     )
     counted = F.least(F.col("n_common"), F.lit(delta))
     sim = F.col("sxy") / (F.sqrt("sxx") * F.sqrt("syy") + EPSILON) * counted / delta
@@ -111,55 +111,54 @@ def global_mean_pearson(
 
 def cosine(
     df: DataFrame, roles: Roles = DEFAULT, axis: str = "user",
-    min_common: int = 1, min_sim: float = 0.0, hot_degree: int = HOT_DEGREE,
+    min_common: int = 1, min_sim: float = 0.0, block: int = BLOCK,
 ) -> DataFrame:
     """Cosine of zero-filled rating vectors: dot over shared, norms over all features.
 
     Rows are scaled to length 1 before pairing, so the pair needs no second lookup.
 
-    ``min_sim`` also prunes candidates. With ``min_sim=0`` and ``min_common=1`` the
-    result itself holds every co-rated pair, which grows with the square of the
-    largest feature.
+    ``min_sim`` keeps pairs that cannot reach it from being formed. With ``min_sim=0`` and
+    ``min_common=1`` the result itself holds every co-rated pair, which grows with the square
+    of the largest feature.
     """
     key, feature = _axis(roles, axis)
     r = F.col(roles.rating)
-    norms = df.groupBy(key).agg(F.sqrt(F.sum(r * r)).alias("_norm"))
-    scaled = df.join(norms, key).select(
-        roles.user, roles.item, (r / F.nullif(F.col("_norm"), F.lit(0.0))).alias("_x")
-    ).filter(F.col("_x") != 0)
-    pairs = co_rating_sums(
-        scaled, key, feature, "_x", min_common, min_cosine=min_sim or None, sums=("sxy",),
-        hot_degree=hot_degree,
-    )
-    edges = _edges(pairs, F.col("sxy"))
-    return edges.filter(F.col("sim") >= min_sim) if min_sim else edges
+    norms = df.groupBy(key).agg(F.sqrt(F.sum(r * r)).alias("_norm"), F.count(F.lit(1)).alias("size"))
+    scaled = df.join(norms, key).withColumn("_x", r / F.nullif(F.col("_norm"), F.lit(0.0))).filter(F.col("_x") != 0)
+    if min_sim <= 0:
+        pairs = co_rating_sums(scaled, key, feature, "_x", min_common, sums=("sxy",), block=block)
+        return _edges(pairs, F.col("sxy"))
+    rows = scaled.select(F.col(key).alias("key"), F.col(feature).alias("feature"), F.col("_x").cast("double").alias("x"), "size")
+    pairs = bounded_pairs(rows, "cosine", min_sim - 10**-DIGITS, block).filter(F.col("n_common") >= min_common)
+    return _edges(pairs, F.col("sxy")).filter(F.col("sim") >= min_sim)
 
 
 def jaccard(
     df: DataFrame, roles: Roles = DEFAULT, axis: str = "user",
-    min_common: int = 1, min_sim: float = 0.0, hot_degree: int = HOT_DEGREE,
+    min_common: int = 1, min_sim: float = 0.0, block: int = BLOCK,
 ) -> DataFrame:
-    """Shared over united feature sets; ``min_sim`` also prunes candidates."""
+    """Shared over united feature sets; pairs that cannot reach ``min_sim`` are not formed."""
     key, feature = _axis(roles, axis)
     rated = df.filter(F.col(roles.rating) != 0)
-    sizes = rated.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("_size"))
+    sizes = rated.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
     sized = rated.select(roles.user, roles.item).join(sizes, key)
-    pairs = co_rating_sums(
-        sized, key, feature, "_size", min_common, min_jaccard=min_sim or None, sums=("sx", "sy"),
-        hot_degree=hot_degree,
-    )
-    n = F.col("n_common")  # every shared feature carries the size of each side
-    edges = _edges(pairs, n / (F.col("sx") / n + F.col("sy") / n - n))
-    return edges.filter(F.col("sim") >= min_sim) if min_sim else edges
+    n = F.col("n_common")
+    if min_sim <= 0:
+        pairs = co_rating_sums(sized, key, feature, "size", min_common, sums=("sx", "sy"), block=block)
+        return _edges(pairs, n / (F.col("sx") / n + F.col("sy") / n - n))  # each shared feature has both sizes
+    rows = sized.select(F.col(key).alias("key"), F.col(feature).alias("feature"), F.lit(0.0).alias("x"), "size")
+    pairs = bounded_pairs(rows, "jaccard", min_sim - 10**-DIGITS, block).filter(n >= min_common)
+    edges = _edges(pairs, n / (F.col("na") + F.col("nb") - n).cast("double"))
+    return edges.filter(F.col("sim") >= min_sim)
 
 
 def corated_items(
     df: DataFrame, roles: Roles = DEFAULT, axis: str = "user",
-    min_common: int = 2, hot_degree: int = HOT_DEGREE,
+    min_common: int = 2, block: int = BLOCK,
 ) -> DataFrame:
     """Pairs with the size of their shared feature set."""
     key, feature = _axis(roles, axis)
-    return co_rating_sums(df, key, feature, F.lit(1.0), min_common, sums=(), hot_degree=hot_degree)
+    return co_rating_sums(df, key, feature, F.lit(1.0), min_common, sums=(), block=block)
 
 
 def symmetrized(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastegrid.operators import similarity as S, splits as P
+from tastegrid.operators import splits as P, topk as K
 from tastegrid.session import stage
 from tastegrid.sources import tables as T
 
@@ -34,11 +34,11 @@ def side(split: DataFrame, name: str) -> DataFrame:
 
 
 def user_neighbors(train: DataFrame, k: int) -> DataFrame:
-    return S.top_neighbors(S.weighted_pearson(train, axis="user"), k, min_sim=0.0)
+    return K.top_weighted_pearson(train, k, axis="user", min_sim=0.0)
 
 
 def item_neighbors(train: DataFrame, k: int = ITEM_NEIGHBORS) -> DataFrame:
-    return S.top_neighbors(S.weighted_pearson(train, axis="item"), k, min_sim=0.0)
+    return K.top_weighted_pearson(train, k, axis="item", min_sim=0.0)
 
 
 # --- SQL text --------------------------------------------------------------------

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from tastegrid.functions.hashing import md5_key
-from tastegrid.operators import profile as D, ranking as R, similarity as S, splits as P, vectorsim as VS
+from tastegrid.operators import pairs, profile as D, ranking as R, similarity as S, splits as P, topk as K, vectorsim as VS
 
 
 @pytest.fixture(scope="module")
@@ -29,32 +29,114 @@ def edges(df):
     return sorted(map(tuple, df.collect()))
 
 
-COLD = 10**9
+WHOLE = 10**9
 CASES = [
-    ("pearson", lambda df, axis, hot: S.pearson(df, axis=axis, hot_degree=hot)),
-    ("pearson3", lambda df, axis, hot: S.pearson(df, axis=axis, min_common=3, hot_degree=hot)),
-    ("weighted", lambda df, axis, hot: S.weighted_pearson(df, axis=axis, hot_degree=hot)),
-    ("global", lambda df, axis, hot: S.global_mean_pearson(df, axis=axis, min_sim=0.08, hot_degree=hot)),
-    ("cosine", lambda df, axis, hot: S.cosine(df, axis=axis, min_sim=0.3, hot_degree=hot)),
-    ("jaccard", lambda df, axis, hot: S.jaccard(df, axis=axis, min_sim=0.25, hot_degree=hot)),
-    ("corated", lambda df, axis, hot: S.corated_items(df, axis=axis, min_common=2, hot_degree=hot)),
+    ("pearson", lambda df, axis, block: S.pearson(df, axis=axis, block=block)),
+    ("pearson3", lambda df, axis, block: S.pearson(df, axis=axis, min_common=3, block=block)),
+    ("weighted", lambda df, axis, block: S.weighted_pearson(df, axis=axis, block=block)),
+    ("global", lambda df, axis, block: S.global_mean_pearson(df, axis=axis, min_sim=0.08, block=block)),
+    ("cosine", lambda df, axis, block: S.cosine(df, axis=axis, min_sim=0.3, block=block)),
+    ("jaccard", lambda df, axis, block: S.jaccard(df, axis=axis, min_sim=0.25, block=block)),
+    ("corated", lambda df, axis, block: S.corated_items(df, axis=axis, min_common=2, block=block)),
 ]
 
 
 @pytest.mark.parametrize("axis", ["user", "item"])
 @pytest.mark.parametrize("name, run", CASES, ids=[c[0] for c in CASES])
-def test_hot_features_change_nothing(skewed, name, run, axis):
-    plain, pruned = edges(run(skewed, axis, COLD)), edges(run(skewed, axis, 8))
-    assert plain == pruned and plain
+def test_blocks_change_nothing(skewed, name, run, axis):
+    plain, cut = edges(run(skewed, axis, WHOLE)), edges(run(skewed, axis, 8))
+    assert plain == cut and plain
 
 
-def test_pruned_join_forms_fewer_pairs(skewed):
-    from tastegrid.operators.pairs import hot_tail
+def rows_of(df):
+    return df.select(F.col("user_id").alias("key"), F.col("item_id").alias("feature"), F.col("rating").alias("x"))
 
-    rows = skewed.select(F.col("user_id").alias("key"), F.col("item_id").alias("feature"), F.col("rating").alias("x"))
-    degree = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("degree"))
-    tail = hot_tail(rows, degree.filter("degree > 80"), 2, None, None)
-    assert tail.count() == 90 and {r["feature"] for r in tail.collect()} == {0}
+
+def test_hot_feature_becomes_bounded_blocks(spark):
+    """A feature that all 2,000 keys share: no piece of work forms more than block^2 pairs."""
+    rows = spark.range(2000).select(F.col("id").alias("key"), F.lit(0).alias("feature"), F.lit(1.0).alias("x"))
+    blocks = pairs.packed(rows, ["x"], 128)
+    sizes = [len(r["members"]) for r in blocks.collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 128
+    got = pairs.block_pairs(rows, ["x"], 128).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("l.key", "r.key").alias("d"),
+        F.count_if(F.col("l.key") < F.col("r.key")).alias("ordered")).first()
+    assert got["n"] == got["d"] == got["ordered"] == 2000 * 1999 // 2
+
+
+@pytest.fixture(scope="module")
+def zipf(spark):
+    """300 keys over 200 features of very different popularity."""
+    rng = random.Random(13)
+    weights = [1 / (i + 1) for i in range(200)]
+    rows = {(k, f) for k in range(300) for f in rng.choices(range(200), weights, k=rng.randrange(1, 25))}
+    rows |= {(k, 500 + f) for k in range(20) for f in range(k, k + 9)}
+    data = [(k, f, float(rng.randint(1, 5))) for k, f in sorted(rows)]
+    return data, spark.createDataFrame(data, ["user_id", "item_id", "rating"])
+
+
+@pytest.mark.parametrize("kind", ["jaccard", "cosine"])
+@pytest.mark.parametrize("bound", [0.05, 0.5])
+def test_bounded_similarity_against_brute_force(zipf, kind, bound):
+    data, df = zipf
+    vectors = {}
+    for k, f, x in data:
+        vectors.setdefault(k, {})[f] = x
+    want = {}
+    for a in vectors:
+        for b in vectors:
+            shared = vectors[a].keys() & vectors[b].keys()
+            if a < b and shared:
+                if kind == "jaccard":
+                    sim = len(shared) / len(vectors[a].keys() | vectors[b].keys())
+                else:
+                    dot = sum(vectors[a][f] * vectors[b][f] for f in shared)
+                    sim = dot / math.sqrt(sum(x * x for x in vectors[a].values()) * sum(x * x for x in vectors[b].values()))
+                if round(sim, 6) >= bound:
+                    want[a, b] = (len(shared), sim)
+    got = getattr(S, kind)(df, min_sim=bound, block=16).collect()
+    assert {(r["a"], r["b"]) for r in got} == set(want) and len(got) == len(want)
+    assert all(r["n_common"] == want[r["a"], r["b"]][0] and abs(r["sim"] - want[r["a"], r["b"]][1]) < 1e-6 for r in got)
+
+
+def test_bounds_keep_pairs_from_being_formed(zipf):
+    _, df = zipf
+    sizes = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))
+    rows = rows_of(df).join(sizes.withColumnRenamed("user_id", "key"), "key")
+    every = pairs.block_pairs(rows, ["x"]).count()
+    for bound, share in ((0.5, 0.3), (0.8, 0.1)):
+        tails = pairs.popularity_tails(rows, F.ceil(F.col("size") * bound).cast("double"), F.lit(1.0))
+        assert all(r["tail"] < bound * r["size"] for r in tails.select("tail", "size").collect())
+        assert pairs.block_pairs(tails.filter("cls <= last"), ["x"]).count() < share * every
+
+
+@pytest.mark.parametrize("axis", ["user", "item"])
+@pytest.mark.parametrize("least", [None, 0.0, 0.05])
+def test_top_weighted_equals_the_edge_list(skewed, axis, least):
+    want = S.top_neighbors(S.weighted_pearson(skewed, axis=axis), 3, least)
+    for options in ({}, {"block_keys": 7, "task_rows": 20, "pairs_at_once": 30}):
+        got = K.top_weighted_pearson(skewed, 3, axis=axis, min_sim=least, **options)
+        assert got.columns == want.columns and edges(got) == edges(want)
+
+
+def test_top_weighted_visits_few_pairs():
+    """Pairs whose overlap cannot beat the k-th best found are not worked out."""
+    rng = np.random.default_rng(2)
+    x = {n: rng.integers(1, 6, (400, n)) for n in (3, 25)}
+    a, feature, value = [], [], []
+    for n, lo in ((25, 0), (3, 200)):  # key 0 shares 25 features with keys 1..199 and 3 with 200..399
+        for b in range(1, 200):
+            a += [lo + b] * n
+            feature += list(range(n))
+            value += list(x[n][b])
+    own = (np.zeros(25, int), np.arange(25), x[25][0].astype(float))
+    other = (np.array(a), np.array(feature), np.array(value, float))
+    tried = []
+    got = K.best_partners(*own, *other, k=5, delta=25, min_common=2, least=0.0, pairs_at_once=10**6, tried=tried)
+    full = K.best_partners(*own, *other, k=1000, delta=25, min_common=2, least=0.0, pairs_at_once=10**6)
+    assert sum(tried) < 250
+    best = sorted(zip(-np.round(full[3], 6), full[1]))[:5]
+    assert sorted(zip(-np.round(got[3], 6), got[1]))[:5] == best
 
 
 def test_sequential_split_of_heavy_user(skewed):
