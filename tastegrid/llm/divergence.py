@@ -26,7 +26,7 @@ from tastegrid.session import stage
 #: Bytes of a term as they count; every other byte ends one. Bytes from 128 on belong to characters outside ASCII.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: A task hands on what it has counted once it holds so many (group, term) entries.
-HELD = 200_000
+HELD = 400_000
 #: Size of the filter in front of the join that looks strings up; with more terms it only lets more through.
 FILTER_BITS = 1 << 24
 #: p = 1 + floor(UNIT * (count + 2) / (N + 2 V))
@@ -97,8 +97,18 @@ def kept_counts(counted: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame
         bit_filter(often.select(F.col("digest").alias("k")), "k", FILTER_BITS))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def distinct(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).group_by(names).aggregate([])  # a term has a row of each source
+            return rows.select(names).to_batches()
+
+        names, held = ["lang", "digest", "term"], []
         for b in batches:
-            yield b.filter(pa.array(has_bit(seen.value, b.column(1).to_numpy())))
+            held.append(b.filter(pa.array(has_bit(seen.value, b.column(1).to_numpy()))))
+            if sum(x.num_rows for x in held) > HELD:
+                yield from distinct(held)
+                held = []
+        if held:
+            yield from distinct(held)
 
     strings = counted.select("lang", "digest", "term").mapInArrow(maybe, "lang string, digest long, term string")
     ends = stage(strings.join(often, key).groupBy(*key).agg(
