@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,21 +30,8 @@ def draw(*parts: Column | str) -> Column:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """:func:`tastegrid.session.stage`, then lets Spark drop the shuffle files behind the written table.
-
-    Spark frees the files of a finished shuffle once the driver's JVM has collected the plan that made
-    them (what ``spark.cleaner.periodicGC.interval`` does every half hour); a job of many written steps
-    asks for it after each, so that it never holds the files of more than one.
-    """
-    jvm = getattr(df.sparkSession.sparkContext, "_jvm", None)
-    out = stage(df, name)
-    del df  # else it keeps its plan
-    if jvm is not None:
-        gc.collect()
-        for _ in range(2):  # listeners still hold the plan for a moment
-            jvm.System.gc()
-            time.sleep(0.4)
-    return out
+    """:func:`tastegrid.session.stage` under the name that the operators here use."""
+    return stage(df, name)
 
 
 #: Most values of :func:`spot`; a broadcast of spots has that many rows at most.
