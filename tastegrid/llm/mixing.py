@@ -26,7 +26,9 @@ PARTS = 4096
 ROUNDS = 32
 SEED = 7
 #: Slots that one row stands for before it is spread out.
-CHUNK = 1 << 16
+CHUNK = 1 << 13
+#: Tasks that make slots, at most.
+MOST_TASKS = 10_000
 
 
 def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -124,8 +126,9 @@ def plan(recs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
         sources.filter("n_slots > 0")
         .select("source_no", "n_slots", "n_blocks", "first_slot",
                 F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {CHUNK}L)")).alias("chunk"))
-        .repartition("source_no", "chunk")
     )
+    # a number of its own, or small chunk rows would be put into one task that makes all slots
+    chunks = chunks.repartition(max(1, min(MOST_TASKS, -(-n_slots // CHUNK))), "source_no", "chunk")
     numbers = F.expr(f"sequence(chunk * {CHUNK}L, least(n_slots, (chunk + 1) * {CHUNK}L) - 1)")
     key = F.lit(seed).cast("long")
     slots = (
@@ -136,7 +139,7 @@ def plan(recs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
             F.expr("q % n_blocks"), F.col("n_blocks"), key, F.col("source_no").cast("long"), F.col("pass")))
         .select(F.expr(f"cast(slot div {SHARD_SLOTS} as int)").alias("shard"), "slot", "source_no", "pass", "block")
     )
-    return stream, slots
+    return stream, keep(slots, "mix-slots")  # written, so that its size is known where it is joined
 
 
 def block_words_of(stream: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
