@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tastegrid.constants import CONFIDENCE_Z, SEED
+from tastegrid.constants import BOOTSTRAP_RESAMPLES, CONFIDENCE_Z, SEED
 from tastegrid.functions.hashing import md5_int, md5_key
 from tastegrid.functions.parsing import failed, numeric
 from tastegrid.roles import Roles
+from tastegrid.session import stage
 
 DEFAULT = Roles()
 DIGITS = 6
+EXACT_MEAN = 64  # of a Poisson number
 
 
 def _error(actual: str, predicted: str) -> Column:
@@ -67,29 +71,51 @@ def confidence_interval(
     )
 
 
+def poisson_cdf(mean: int) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... up to where it no longer grows."""
+    out, total = [], 0.0
+    for k in range(mean + 12 * math.isqrt(mean) + 30):
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        out.append(total)
+    return out
+
+
+def poisson_draw(mean: Column, cdf: Column, digest: Column) -> Column:
+    """A Poisson number with a whole mean, drawn by an md5 digest.
+
+    Up to EXACT_MEAN the inverse of the distribution function ``cdf``; above it a normal number
+    with the first term for the skew, whose error is far below one there.
+    """
+    unit = (md5_int(digest) + 0.5) / float(16**7)
+    other = (md5_int(F.substring(digest, 8, 7)) + 0.5) / float(16**7)
+    small = F.size(F.filter(cdf, lambda x: x <= unit))
+    z = F.sqrt(-2 * F.ln(unit)) * F.cos(2 * math.pi * other)
+    large = F.floor(mean + F.sqrt(mean) * z + (z * z - 1) / 6 + 0.5)
+    return F.when(mean <= EXACT_MEAN, small.cast("bigint")).otherwise(F.greatest(large, F.lit(0).cast("bigint")))
+
+
 def bootstrap_interval(
-    df: DataFrame, actual: str, predicted: str, keys: list[str],
-    resamples: int = 200, groups: int = 256, seed: int = SEED,
+    df: DataFrame, actual: str, predicted: str, resamples: int = BOOTSTRAP_RESAMPLES, seed: int = SEED,
 ) -> DataFrame:
     """Percentile bootstrap of RMSE and MAE.
 
-    Rows are hashed into ``groups`` independent groups with one pass; the groups are
-    then drawn with replacement. The resampled data has groups x resamples rows,
-    whatever the size of the input.
+    A resample takes each row a Poisson(1) number of times. Rows with the same actual and
+    predicted value are one cell, and f of them are taken Poisson(f) times together, so the work
+    is cells x resamples. Draws depend on the resample and the cell's values (to six digits).
     """
     e = _error(actual, predicted)
-    cell = F.pmod(md5_int(md5_key(*keys, seed=seed)), F.lit(groups))
-    sums = df.filter(e.isNotNull()).groupBy(cell.alias("g")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("se"), F.sum(F.abs(e)).alias("ae")
-    )
-    spark = df.sparkSession
-    draws = (
-        spark.range(resamples).withColumnRenamed("id", "rep")
-        .select("rep", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("draw"))
-        .withColumn("g", F.pmod(md5_int(md5_key("rep", "draw", seed=seed)), F.lit(groups)))
-    )
-    replicates = draws.join(F.broadcast(sums), "g").groupBy("rep").agg(
-        F.sqrt(F.sum("se") / F.sum("n")).alias("rmse"), (F.sum("ae") / F.sum("n")).alias("mae")
+    six = lambda c: F.round(F.col(c).cast("double") * 1e6).cast("bigint")
+    cells = df.filter(e.isNotNull()).groupBy(six(actual).alias("_a"), six(predicted).alias("_p")).agg(
+        F.count(F.lit(1)).alias("f"), F.avg(e * e).alias("se"), F.avg(F.abs(e)).alias("ae"))
+    tables = df.sparkSession.createDataFrame(
+        [(m, poisson_cdf(m)) for m in range(1, EXACT_MEAN + 1)], "f bigint, cdf array<double>")
+    reps = stage(cells, "cells").join(F.broadcast(tables), "f", "left").withColumn(
+        "rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    drawn = reps.withColumn("m", poisson_draw(F.col("f"), F.col("cdf"), md5_key("rep", "_a", "_p", seed=seed)))
+    n = F.sum("m")
+    replicates = drawn.groupBy("rep").agg(
+        F.sqrt(F.sum(F.col("m") * F.col("se")) / F.nullif(n, F.lit(0))).alias("rmse"),
+        (F.sum(F.col("m") * F.col("ae")) / F.nullif(n, F.lit(0))).alias("mae"),
     )
     ends = F.array(F.lit(0.025), F.lit(0.975))
     out = replicates.agg(

@@ -43,34 +43,28 @@ def neighbor_ratings(
 
 
 def neighbor_ratings_by_item(
-    targets: DataFrame, neighbors: DataFrame, item_neighbors: DataFrame, train: DataFrame,
+    targets: DataFrame, neighbors: DataFrame, item_edges: DataFrame, train: DataFrame,
     n: int = RATINGS_PER_NEIGHBOR, roles: Roles = DEFAULT,
 ) -> DataFrame:
     """Per (user, target item, neighbour): the n ratings of the neighbour whose items are
-    most similar to the target; open places are filled by the neighbour's best rated.
+    most similar to the target, then the neighbour's best rated.
 
-    ``item_neighbors`` holds the k most similar items of each item, so each target does
-    k lookups per neighbour and never opens a neighbour's whole history. A neighbour's
-    2n best rated items always contain n that did not already qualify by similarity.
+    ``item_edges`` (a, b, sim), a < b, are similarities of items; those above 0 count, however
+    many an item has. Each rating of a neighbour is looked up by its pair with the target once,
+    and n rows of a neighbour leave a task.
     """
     user, item = roles.user, roles.item
     base = targets.select(user, F.col(item).alias("target")).join(
         neighbors.select(F.col("a").alias(user), F.col("b").alias("neighbor"), "sim", "rn"), user
     )
-    similar = item_neighbors.select(
-        F.col("a").alias("target"), F.col("b").alias(item), F.col("sim").alias("item_sim")
-    )
     history = train.select(F.col(user).alias("neighbor"), item, roles.rating)
-    by_sim = base.join(similar, "target").join(history, ["neighbor", item])
-    best = rated_lists(train, 2 * n, "top", roles).select(
-        F.col(user).alias("neighbor"), item, roles.rating
-    )
-    by_rating = base.join(best, "neighbor").withColumn("item_sim", F.lit(None).cast("double"))
-    both = by_sim.unionByName(by_rating).groupBy(
-        user, "target", "neighbor", "sim", "rn", item
-    ).agg(F.max("item_sim").alias("item_sim"), F.max(roles.rating).alias(roles.rating))
+    rated = base.join(history, "neighbor").withColumns({
+        "_a": F.least("target", item), "_b": F.greatest("target", item)})
+    sims = item_edges.filter(F.col("sim") > 0).select(
+        F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("sim").alias("item_sim"))
+    looked_up = rated.join(sims, ["_a", "_b"], "left").drop("_a", "_b")
     order = [F.col("item_sim").desc_nulls_last(), F.col(roles.rating).desc(), F.col(item)]
-    return top_k(both, [user, "target", "neighbor"], order, n, "rank")
+    return top_k(looked_up, [user, "target", "neighbor"], order, n, "rank")
 
 
 def predict_item_mean(train: DataFrame, pairs: DataFrame, key: str, roles: Roles = DEFAULT) -> DataFrame:

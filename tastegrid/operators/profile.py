@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tastegrid.operators.ranking import exact_quantiles
 from tastegrid.roles import Roles
 
 DEFAULT = Roles()
@@ -88,19 +89,12 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return means.select(key, vector_to_array("_m").alias("mean_vector"))
 
 
-def box_stats(df: DataFrame, key: str, value: str, digits: int = 4) -> DataFrame:
-    """Five-number summary per key. Values are counted at ``digits`` decimals first, so
-    the exact percentile works on a bounded set of (value, frequency) pairs."""
-    counted = df.groupBy(key, F.round(value, digits).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_f")
-    )
-    marks = F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    stats = counted.groupBy(key).agg(
-        F.percentile("_v", marks, F.col("_f")).alias("_p"), F.sum("_f").alias("n")
-    )
+def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Five-number summary per key, exactly."""
+    stats = exact_quantiles(df, key, value, [0.0, 0.25, 0.5, 0.75, 1.0])
     names = ["low", "q1", "median", "q3", "high"]
     return stats.select(
-        key, "n", *[F.round(F.col("_p")[i], 6).alias(c) for i, c in enumerate(names)]
+        key, "n", *[F.round(F.col("quantiles")[i], 6).alias(c) for i, c in enumerate(names)]
     )
 
 

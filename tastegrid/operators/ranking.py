@@ -7,6 +7,7 @@
   values, found by successively finer histograms; the data itself is not shuffled.
 * ``group_cuts`` – the same, for the n-th row of each heavy group.
 * ``row_index`` – a global row number from a 65,536-cell histogram.
+* ``exact_quantiles`` – order statistics of doubles, digit by digit from counts.
 """
 
 from __future__ import annotations
@@ -14,12 +15,18 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, LongType
+
+from tastegrid.session import stage
 
 HEAVY_MIN_ROWS = 1_000_000
 HEAVY_SHARE = 1e-4
 CELL_ROWS = 1_000_000
 PREFIX_HEX = 4  # 16**4 = 65,536 cells
+DIGIT_BITS = 16
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rn") -> DataFrame:
@@ -154,3 +161,56 @@ def row_index(df: DataFrame, digest: Column, name: str = "row_idx") -> DataFrame
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_digest", "_cell", "_offset")
     )
+
+
+@F.pandas_udf(LongType())
+def ordered_bits(values: pd.Series) -> pd.Series:
+    """The 64 bits of a double as a whole number of the same order; both zeros are one."""
+    bits = (values.to_numpy(np.float64) + 0.0).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
+
+
+@F.pandas_udf(DoubleType())
+def from_ordered_bits(values: pd.Series) -> pd.Series:
+    bits = values.to_numpy(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view(np.float64))
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, marks: list[float]) -> DataFrame:
+    """(key, n, quantiles): per key the interpolated quantiles of a double, one for each of ``marks``.
+
+    Ranks are found by radix selection: values are counted by their 16 highest bits, which tells
+    the cell of each rank, then the rows of these cells by the next 16, and so on. All keys and
+    marks go down together; a key and cell never has more than 65,536 counts, and no values are
+    sorted or held. Null values do not count; a key with nulls only has no row.
+    """
+    rows = stage(df.filter(F.col(value).isNotNull()).select(
+        F.col(key).alias("_k"), ordered_bits(F.col(value).cast("double")).alias("bits")), "bits")
+    sizes = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
+    at = (F.col("n") - 1) * F.col("q")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(marks)])
+    wanted = sizes.select("_k", "n", F.inline(wanted))
+    ends = F.array(F.floor(at).cast("bigint"), F.ceil(at).cast("bigint"))
+    open_ = wanted.select("_k", F.explode(ends).alias("rank")).distinct().withColumns({
+        "left": F.col("rank"), "prefix": F.lit(0).cast("bigint")})
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        digit = F.shiftright("bits", shift)  # keeps the sign, so the first digits are in order too
+        first = shift == 64 - DIGIT_BITS
+        above = F.lit(0).cast("bigint") if first else F.shiftright("bits", shift + DIGIT_BITS)
+        own = open_.select(F.col("_k").alias("_o"), F.col("prefix").alias("_p")).distinct()
+        cell = rows.join(own, F.col("_k").eqNullSafe(F.col("_o")) & (above == F.col("_p"))).groupBy(
+            "_o", "_p", digit.alias("digit")).agg(F.count(F.lit(1)).alias("c"))
+        upto = W.partitionBy("_o", "_p").orderBy("digit").rowsBetween(W.unboundedPreceding, 0)
+        cum = cell.withColumn("cum", F.sum("c").over(upto))
+        hit = (F.col("left") < F.col("cum")) & (F.col("left") >= F.col("cum") - F.col("c"))
+        open_ = stage(open_.join(cum, F.col("_k").eqNullSafe(F.col("_o")) & (F.col("prefix") == F.col("_p")) & hit).select(
+            "_k", "rank", (F.col("left") - F.col("cum") + F.col("c")).alias("left"), F.col("digit").alias("prefix")), "digits")
+    found = open_.select(F.col("_k").alias("_o"), "rank", from_ordered_bits("prefix").alias("v"))
+    low = found.select(F.col("_o").alias("_lo"), F.col("rank").alias("_rl"), F.col("v").alias("vl"))
+    high = found.select(F.col("_o").alias("_hi"), F.col("rank").alias("_rh"), F.col("v").alias("vh"))
+    both = wanted.join(low, F.col("_k").eqNullSafe(F.col("_lo")) & (F.floor(at) == F.col("_rl"))).join(
+        high, F.col("_k").eqNullSafe(F.col("_hi")) & (F.ceil(at) == F.col("_rh")))
+    between = F.when(F.col("_rl") == F.col("_rh"), F.col("vl")).otherwise(
+        F.col("vl") + (F.col("vh") - F.col("vl")) * (at - F.floor(at)))
+    return both.groupBy(F.col("_k").alias(key), "n").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("i", between.alias("v")))), lambda x: x["v"]).alias("quantiles"))

@@ -12,7 +12,6 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tastegrid.constants import DELTA, EPSILON, VALID_NEIGHBOR_THRESHOLD
-from tastegrid.functions import vectors as V
 from tastegrid.operators.pairs import BLOCK, bounded_pairs, co_rating_sums
 from tastegrid.operators.ranking import top_k
 from tastegrid.roles import Roles
@@ -37,6 +36,15 @@ def interactions_binary(
     )
 
 
+def wide_interactions(df: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
+    """A row per user and a column per item of the data with the mean rating; 0 where there is none.
+
+    For few items: a table has a column for each of them (Spark's pivot stops above
+    ``spark.sql.pivotMaxValues``). Every other operator works on the long form.
+    """
+    return df.groupBy(roles.user).pivot(roles.item).agg(F.round(F.avg(roles.rating), DIGITS)).na.fill(0.0)
+
+
 def _axis(roles: Roles, axis: str) -> tuple[str, str]:
     if axis == "user":
         return roles.user, roles.item
@@ -190,34 +198,42 @@ def valid_neighbors(
     return rows.unionByName(own)
 
 
-def feature_profiles(
-    df: DataFrame, roles: Roles, attribute: str, max_values: int = 1024
-) -> DataFrame:
-    """Rating-weighted share of each attribute value per user, as a unit vector.
+def item_traits(items: DataFrame, item: str) -> DataFrame:
+    """(item, attribute, value) from a column per attribute; arrays have a row per entry, nulls none."""
+    rows = None
+    for name in items.columns:
+        if name == item:
+            continue
+        several = items.schema[name].dataType.typeName() == "array"
+        value = F.explode(name) if several else F.col(name)
+        part = items.select(item, F.lit(name).alias("attribute"), value.cast("string").alias("value") if not several
+                            else value.alias("value"))
+        part = part.filter(F.col("value").isNotNull())
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
-    The vector has one slot per attribute value, so the number of values is checked.
-    """
-    values = [r[0] for r in df.select(attribute).distinct().limit(max_values + 1).collect()]
-    if len(values) > max_values:
-        raise ValueError(f"{attribute} has more than {max_values} values")
-    slots = sorted(v for v in values if v is not None)
-    per_value = df.groupBy(roles.user, attribute).agg(F.sum(roles.rating).alias("_w"))
-    filled = per_value.groupBy(roles.user).agg(
-        F.map_from_entries(F.collect_list(F.struct(attribute, "_w"))).alias("_m")
-    )
-    names = F.array(*[F.lit(s) for s in slots])
-    vector = F.transform(names, lambda s: F.coalesce(F.col("_m")[s], F.lit(0.0)))
-    return filled.select(roles.user, V.unit(vector).alias("profile"))
+
+def feature_profiles(df: DataFrame, traits: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
+    """(user, attribute, value, w): what a user has rated, by its traits. Each attribute of a
+    user has length 1, and weighs one part of all attributes that ``traits`` has."""
+    w = df.join(traits, roles.item).groupBy(roles.user, "attribute", "value").agg(F.sum(roles.rating).alias("w"))
+    length = w.groupBy(roles.user, "attribute").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
+    n = traits.agg(F.count_distinct("attribute")).first()[0]
+    return w.join(length, [roles.user, "attribute"]).select(
+        roles.user, "attribute", "value", (F.col("w") / F.nullif("_len", F.lit(0.0)) / math.sqrt(max(n, 1))).alias("w"))
 
 
 def feature_augmented(
-    edges: DataFrame, profiles: DataFrame, user: str, alpha: float = 0.5
+    edges: DataFrame, profiles: DataFrame, roles: Roles = DEFAULT, alpha: float = 0.5
 ) -> DataFrame:
-    """Blend rating similarity with profile similarity on the co-rated pairs."""
-    pa = profiles.select(F.col(user).alias("a"), F.col("profile").alias("_pa"))
-    pb = profiles.select(F.col(user).alias("b"), F.col("profile").alias("_pb"))
-    profile_sim = V.dot(F.col("_pa"), F.col("_pb"))
-    return edges.join(pa, "a").join(pb, "b").select(
+    """Blend rating similarity with profile similarity; a pair without a common trait has 0."""
+    names = ["attribute", "value"]
+    pa = profiles.select(F.col(roles.user).alias("a"), *names, F.col("w").alias("_wa"))
+    pb = profiles.select(F.col(roles.user).alias("b"), *names, F.col("w").alias("_wb"))
+    shared = edges.select("a", "b").join(pa, "a").join(pb, ["b", *names]).groupBy("a", "b").agg(
+        F.sum(F.col("_wa") * F.col("_wb")).alias("_p"))
+    profile_sim = F.coalesce("_p", F.lit(0.0))
+    return edges.join(shared, ["a", "b"], "left").select(
         "a", "b", "n_common",
         F.round(profile_sim, DIGITS).alias("profile_sim"),
         F.round(alpha * F.col("sim") + (1 - alpha) * profile_sim, DIGITS).alias("sim"),

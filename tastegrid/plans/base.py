@@ -116,6 +116,12 @@ def weighted_neighbors(axis: str, k: int) -> str:
 {top_cte(axis + '_nb', axis + '_edges', k)}"""
 
 
+def item_edges() -> str:
+    """CTE ``item_sims`` with all positive weighted similarities of items on train, a < b."""
+    return f"""{pair_cte('item_pairs', 'train', 'item', 2)},
+item_sims AS (SELECT a, b, sim FROM (SELECT a, b, {WEIGHTED} AS sim FROM item_pairs WHERE {VARIES}) WHERE sim > 0)"""
+
+
 VECTORS = """vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"""
 
 

@@ -60,15 +60,24 @@ def eval_ci(spark, d):
     return E.confidence_interval(rows, "actual_rating", "predicted_value")
 
 
-@query(f"""WITH {USABLE}, g AS (SELECT {digest_int(UI)} % 256 AS g, count(*) AS n,
-  sum((actual_rating - p) ** 2) AS se, sum(abs(actual_rating - p)) AS ae FROM ok GROUP BY 1),
-dr AS (SELECT rep, {digest_int(digest('rep', 'draw'))} % 256 AS g FROM range(200) a(rep), range(256) b(draw)),
-r AS (SELECT rep, sqrt(sum(se) / sum(n)) AS rmse, sum(ae) / sum(n) AS mae FROM dr JOIN g USING (g) GROUP BY 1)
+@query(f"""WITH {USABLE}, c AS MATERIALIZED (
+  SELECT CAST(round(actual_rating * 1000000) AS BIGINT) AS a, CAST(round(p * 1000000) AS BIGINT) AS b, count(*) AS f,
+    avg((actual_rating - p) ** 2) AS se, avg(abs(actual_rating - p)) AS ae FROM ok GROUP BY 1, 2),
+t AS (SELECT mean, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY mean ORDER BY k) AS cdf
+  FROM (SELECT m.f AS mean, unnest(range(200)) AS k FROM (SELECT DISTINCT f FROM c WHERE f <= 64) m)),
+cdfs AS MATERIALIZED (SELECT mean, list(cdf) AS cdf FROM t GROUP BY 1),
+u AS (SELECT rep, f, se, ae, {digest('rep', 'a', 'b')} AS h FROM c, range(10000) r(rep)),
+v AS (SELECT rep, f, se, ae, ({digest_int('h')} + 0.5) / CAST(268435456 AS DOUBLE) AS u1,
+  ({digest_int('substr(h, 8, 7)')} + 0.5) / CAST(268435456 AS DOUBLE) AS u2 FROM u),
+z AS (SELECT v.*, cdf, sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) AS z FROM v LEFT JOIN cdfs ON mean = f),
+d AS (SELECT rep, se, ae, CASE WHEN f <= 64 THEN len(list_filter(cdf, lambda x: x <= u1))
+  ELSE greatest(floor(f + sqrt(f) * z + (z * z - 1) / 6 + 0.5), 0) END AS m FROM z),
+r AS (SELECT rep, sqrt(sum(m * se) / nullif(sum(m), 0)) AS rmse, sum(m * ae) / nullif(sum(m), 0) AS mae FROM d GROUP BY 1)
 SELECT count(*) AS n_resamples, {r6('quantile_cont(rmse, 0.025)')} AS rmse_low, {r6('quantile_cont(rmse, 0.975)')} AS rmse_high,
   {r6('quantile_cont(mae, 0.025)')} AS mae_low, {r6('quantile_cont(mae, 0.975)')} AS mae_high FROM r""")
 def eval_bootstrap(spark, d):
     rows = E.numeric_predictions(predictions(spark, d))
-    return E.bootstrap_interval(rows, "actual_rating", "predicted_value", ["user_id", "item_id"])
+    return E.bootstrap_interval(rows, "actual_rating", "predicted_value")
 
 
 @query(f"""WITH {USABLE}, m AS (SELECT item_id % 10 AS run_id, {r6('sqrt(avg((actual_rating - p) ** 2))')} AS rmse,

@@ -10,7 +10,7 @@ from tastegrid.operators import (
     context as X, evaluate as E, models as M, neighbors as N, scoring as B, similarity as S, splits as P,
 )
 from tastegrid.plans.base import (
-    DRAWN, LOO, SEQ, TITLED, UI, USER_NEIGHBORS, item_neighbors, r6, ratings, sequential, side,
+    DRAWN, LOO, SEQ, TITLED, UI, USER_NEIGHBORS, item_edges, item_neighbors, r6, ratings, sequential, side,
     titled, user_neighbors, weighted_neighbors,
 )
 from tastegrid.plans.profiling import event_vectors
@@ -118,7 +118,7 @@ bias AS (SELECT t.user_id, t.item_id, t.rating, {r6('mu + coalesce(bu.b, 0) + co
   FROM test t LEFT JOIN bu ON bu.user_id = t.user_id LEFT JOIN bi ON bi.item_id = t.item_id, mu)"""
 
 
-@query(f"WITH {SEQ}, {BIAS} SELECT user_id, item_id, rating, baseline FROM bias")
+@query(f"WITH {SEQ.replace('seq AS (', 'seq AS MATERIALIZED (').replace('train AS (', 'train AS MATERIALIZED (')}, {BIAS} SELECT user_id, item_id, rating, baseline FROM bias")
 def mf_bias_baseline(spark, d):
     split = sequential(spark, d)
     return M.predict_bias(side(split, "train"), side(split, "test")).select(
@@ -199,7 +199,7 @@ def ctx_cf_semantic(spark, d):
     return cf_random(spark, d).join(close, ["user_id", "item_id"], "left")
 
 
-@query(f"""WITH {SEQ}, {weighted_neighbors('user', 4)}, {weighted_neighbors('item', 20)}, {BY_ITEM.replace('rank <= 2', 'rank <= 1')},
+@query(f"""WITH {SEQ}, {weighted_neighbors('user', 4)}, {item_edges()}, {BY_ITEM.replace('rank <= 2', 'rank <= 1')},
 mine AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {UI}) AS k FROM train),
 own AS (SELECT user_id, string_agg('* Title: ' || title || ', Rating: ' || rating || ' stars', chr(10) ORDER BY k) AS history
   FROM mine WHERE k <= 4 GROUP BY 1),
@@ -213,7 +213,7 @@ def ctx_cf_item(spark, d):
     train, test = side(split, "train"), side(split, "test")
     history = P.history(train, k=C.MAIN_USER_RATINGS, complete=False)
     similar = N.neighbor_ratings_by_item(
-        test, user_neighbors(train, C.SIMILAR_USERS), item_neighbors(train), train,
+        test, user_neighbors(train, C.SIMILAR_USERS), S.weighted_pearson(train, axis="item"), train,
         n=C.RATINGS_PER_NEIGHBOR)
     titles = T.items(spark, d).select("item_id", "title")
     return X.collaborative(test, history, similar.join(titles, "item_id"), ["user_id", "target"])
@@ -313,8 +313,11 @@ def ncf_mlp(spark, d):
     """Perceptron on factor features, labels from negative sampling."""
     r = ratings(spark, d)
     labelled = P.negative_samples(r, r.select("item_id").distinct(), num_negatives=1)
-    model = M.fit_implicit(r.select("user_id", "item_id", "rating"), rank=8)
-    rows = P.split_global(M.ncf_features(model, labelled))
+    halves = P.split_global(labelled)
+    # factors of the train positives alone, so that nothing of the test rows is in the features
+    liked = side(halves, "train").filter("label = 1").select("user_id", "item_id", F.lit(1.0).alias("rating"))
+    model = M.fit_implicit(liked, rank=8)
+    rows = M.ncf_features(model, halves)
     tower = M.fit_ncf(side(rows, "train").select("features", "label"), 8)
     return tower.transform(side(rows, "test")).select("user_id", "item_id", "label", "prediction")
 
@@ -353,7 +356,7 @@ def rf_tfidf(spark, d):
     """Forest on TF-IDF of titles, predicting the item's mean rating."""
     means = T.rating_lines(spark, d).groupBy("item_id").agg(F.avg("rating").alias("rating"))
     rows = P.split_global(T.items(spark, d).join(means, "item_id"), S.Roles("item_id", "title"))
-    return M.forest_on_titles(side(rows, "train"), side(rows, "test"), "title", "rating", trees=20).select(
+    return M.forest_on_titles(side(rows, "train"), side(rows, "test"), "item_id", "title", "rating").select(
         "item_id", "rating", "prediction")
 
 

@@ -91,11 +91,9 @@ def interactions(spark, d):
   {', '.join(f"coalesce({r6(f'''avg(value) FILTER (WHERE event_type = '{t}')''')}, 0) AS {t}" for t in ('click', 'error', 'purchase', 'signup', 'view'))}
 FROM events GROUP BY 1""")
 def pivot_wide(spark, d):
-    """User x item matrix for a small, known item set; unrated cells are 0."""
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    wide = T.table(spark, d, "events").groupBy("user_id").pivot("event_type", kinds).agg(
-        F.round(F.avg("value"), 6))
-    return wide.na.fill(0.0)
+    """User x item matrix with a column for each item that occurs; unrated cells are 0."""
+    events = T.table(spark, d, "events")
+    return S.wide_interactions(events, S.Roles("user_id", "event_type", "value"))
 
 
 @query(f"""SELECT user_id, event_type, {r6('sum(value)')} AS total FROM events GROUP BY 1, 2 HAVING sum(value) >= 500""")
@@ -169,12 +167,12 @@ def user_item_affinity(spark, d):
     return affinity(spark, d).drop("value")
 
 
-@query(f"""WITH {AFFINITY}, c AS (SELECT event_type, round(affinity, 4) AS v FROM aff)
+@query(f"""WITH {AFFINITY}, c AS (SELECT event_type, affinity AS v FROM aff)
 SELECT event_type, count(*) AS n, {r6('min(v)')} AS low, {r6('quantile_cont(v, 0.25)')} AS q1,
   {r6('quantile_cont(v, 0.5)')} AS median, {r6('quantile_cont(v, 0.75)')} AS q3, {r6('max(v)')} AS high
 FROM c GROUP BY 1""")
 def box_stats(spark, d):
-    return D.box_stats(affinity(spark, d), "event_type", "affinity", 4)
+    return D.box_stats(affinity(spark, d), "event_type", "affinity")
 
 
 @query(f"WITH {AFFINITY} SELECT {r6('corr(affinity, value)')} AS corr, count(*) AS n FROM aff")
@@ -182,13 +180,11 @@ def col_corr(spark, d):
     return D.column_correlation(affinity(spark, d), "affinity", "value")
 
 
-@query(f"""WITH {AFFINITY}, a AS (SELECT event_id, round(affinity, 4) AS affinity FROM aff)
-SELECT event_id, affinity + 0.0 AS affinity, {r6('''(rank() OVER (ORDER BY affinity)
-  + (count(*) OVER (PARTITION BY affinity) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER ()''')} AS pct_rank FROM a""")
+@query(f"""SELECT event_id, value, {r6('''(rank() OVER (ORDER BY value)
+  + (count(*) OVER (PARTITION BY value) - 1) / CAST(2 AS DOUBLE)) / count(*) OVER ()''')} AS pct_rank FROM events""")
 def pct_rank(spark, d):
-    rows = stage(
-        affinity(spark, d).select("event_id", F.round("affinity", 4).alias("affinity")), "affinity")
-    return D.percentile_rank(rows, "affinity").select("event_id", "affinity", "pct_rank")
+    rows = T.table(spark, d, "events").select("event_id", "value")
+    return D.percentile_rank(rows, "value").select("event_id", "value", "pct_rank")
 
 
 # --- popularity ---------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from tastegrid.operators import (
 )
 from tastegrid.plans.base import (
     LOO, PEARSON, RATINGS, RAW, SEQ, UI, VARIES, VECTORS, WEIGHTED, dot, norm,
-    item_neighbors, pair_cte, r6, ratings, sequential, side, titled, top_cte, user_neighbors, weighted_neighbors,
+    item_edges, pair_cte, r6, ratings, sequential, side, titled, top_cte, user_neighbors, weighted_neighbors,
 )
 from tastegrid.session import stage
 from tastegrid.sources import tables as T
@@ -133,21 +133,29 @@ def topk_users(spark, d):
     return user_neighbors(ratings(spark, d), 4)
 
 
-PROFILES = """w AS (SELECT user_id, p_brand AS brand, sum(rating) AS w FROM ratings JOIN part ON item_id = p_partkey GROUP BY 1, 2),
-len AS (SELECT user_id, sqrt(sum(w * w)) AS len FROM w GROUP BY 1),
-prof AS (SELECT user_id, brand, w / len AS w FROM w JOIN len USING (user_id)),
-ps AS (SELECT e.a, e.b, sum(x.w * y.w) AS ps FROM e JOIN prof x ON x.user_id = a JOIN prof y ON y.user_id = b AND x.brand = y.brand GROUP BY 1, 2)"""
+PROFILES = """traits AS (SELECT p_partkey AS item_id, 'brand' AS attribute, p_brand AS value FROM part
+  UNION ALL SELECT p_partkey, 'category', p_type FROM part
+  UNION ALL SELECT p_partkey, 'price', CAST(CAST(floor(p_retailprice / 100) AS BIGINT) AS VARCHAR) FROM part
+  UNION ALL SELECT DISTINCT p_partkey, 'title', unnest(regexp_split_to_array(lower(p_name), ' ')) FROM part),
+w AS (SELECT user_id, attribute, value, sum(rating) AS w FROM ratings JOIN traits USING (item_id) GROUP BY 1, 2, 3),
+len AS (SELECT user_id, attribute, sqrt(sum(w * w)) AS len FROM w GROUP BY 1, 2),
+prof AS (SELECT user_id, attribute, value, w / len AS w FROM w JOIN len USING (user_id, attribute)),
+ps AS (SELECT e.a, e.b, sum(x.w * y.w) / 4 AS ps FROM e JOIN prof x ON x.user_id = a
+  JOIN prof y ON y.user_id = b AND x.attribute = y.attribute AND x.value = y.value GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {RATINGS}, {pair_cte('p', 'ratings', 'user', 3)}, e AS (SELECT a, b, n_common, {PEARSON} AS sim FROM p), {PROFILES}
 SELECT e.a, e.b, n_common, {r6('coalesce(ps, 0)')} AS profile_sim,
   {r6('0.5 * sim + 0.5 * coalesce(ps, 0)')} AS sim FROM e LEFT JOIN ps ON e.a = ps.a AND e.b = ps.b""")
 def sim_user_features(spark, d):
-    """Rating similarity blended with the users' brand profiles."""
+    """Rating similarity blended with the users' profiles by brand, category, price and title."""
     r = ratings(spark, d)
-    branded = r.join(T.items(spark, d).select("item_id", "brand"), "item_id")
-    profiles = S.feature_profiles(branded, S.DEFAULT, "brand")
-    return S.feature_augmented(S.pearson(r, axis="user", min_common=3), profiles, "user_id")
+    items = T.items(spark, d)
+    traits = S.item_traits(items.select(
+        "item_id", "brand", "category", F.floor(F.col("price") / 100).cast("string").alias("price"),
+        F.array_distinct(F.split(F.lower("title"), " ")).alias("title")), "item_id")
+    profiles = S.feature_profiles(r, traits)
+    return S.feature_augmented(S.pearson(r, axis="user", min_common=3), profiles)
 
 
 # --- vector similarities -----------------------------------------------------------------
@@ -199,15 +207,25 @@ def knn_embeddings(spark, d):
     return VS.nearest_to_source(v, "vec_id", "vector", source, 10, same_text="label")
 
 
-@query(f"""WITH {REPS}, t AS (SELECT id, v AS u FROM reps),
-e AS (SELECT x.id AS a, y.id AS b, {_COS} AS sim FROM t x JOIN t y ON x.id < y.id),
-f AS (SELECT a, b, CAST(0 AS BIGINT) AS n_common, sim FROM e WHERE sim >= 0.2 UNION ALL SELECT a, b, 0, sim FROM copies),
-{top_cte('nb', 'f', 5)} SELECT a, b, {r6('1 - sim')} AS distance, CAST(rn AS INTEGER) AS rn FROM nb""")
+def _knn_sql(where: str) -> str:
+    return f"""WITH {VECTORS}, t AS MATERIALIZED (SELECT vec_id AS id, v AS u FROM vecs),
+e AS (SELECT x.id AS a, y.id AS b, {_COS} AS sim FROM t x JOIN t y ON x.id <> y.id),
+nb AS (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM e WHERE {where})
+SELECT a, b, {r6('1 - sim')} AS distance, CAST(rn AS INTEGER) AS rn FROM nb WHERE rn <= 5"""
+
+
+@query(_knn_sql("sim >= 0.2"))
 def knn_within(spark, d):
     """Every vector's nearest rows within a distance bound, exactly."""
     return VS.knn_within(T.vectors(spark, d), "vec_id", "vector", 5, 0.2)
 
 
+@query(_knn_sql("true"))
+def knn_all(spark, d):
+    """Every vector's nearest rows."""
+    return VS.knn_all(T.vectors(spark, d), "vec_id", "vector", 5)
+
+
 @query()
 def knn_lsh(spark, d):
     return VS.knn_lsh(T.vectors(spark, d), "vec_id", "vector", 5, 0.2, bits=5)
@@ -286,16 +304,16 @@ def neighbor_all(spark, d):
 
 BY_ITEM = f"""base AS (SELECT t.user_id, t.item_id AS target, b AS neighbor, sim, rn FROM test t JOIN user_nb ON a = t.user_id),
 cand AS (SELECT base.*, h.item_id, h.rating, i.sim AS item_sim FROM base
-  JOIN train h ON h.user_id = neighbor LEFT JOIN item_nb i ON i.a = target AND i.b = h.item_id),
+  JOIN train h ON h.user_id = neighbor LEFT JOIN item_sims i ON i.a = least(target, h.item_id) AND i.b = greatest(target, h.item_id)),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, target, neighbor
   ORDER BY item_sim DESC NULLS LAST, rating DESC, item_id) AS rank FROM cand) WHERE rank <= 2)"""
 
 
-@query(f"""WITH {SEQ}, {weighted_neighbors('user', 4)}, {weighted_neighbors('item', 20)}, {BY_ITEM}
+@query(f"""WITH {SEQ}, {weighted_neighbors('user', 4)}, {item_edges()}, {BY_ITEM}
 SELECT user_id, target, neighbor, sim, CAST(rn AS INTEGER) AS rn, item_id, item_sim, rating, CAST(rank AS INTEGER) AS rank FROM chosen""")
 def neighbor_by_item_sim(spark, d):
     """Neighbours' ratings closest to each test item; the last fifth of each user's rows is test."""
     split = sequential(spark, d)
     train, test = side(split, "train"), side(split, "test")
     return N.neighbor_ratings_by_item(
-        test, user_neighbors(train, 4), item_neighbors(train), train, n=2)
+        test, user_neighbors(train, 4), S.weighted_pearson(train, axis="item"), train, n=2)

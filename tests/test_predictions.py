@@ -1,6 +1,7 @@
 """Predictors against plain Python, and models on data with planted structure."""
 
 import datetime as dt
+import math
 import random
 from collections import defaultdict
 
@@ -62,11 +63,11 @@ def test_neighbors_carry_the_planted_taste(rated):
 def test_ratings_nearest_to_the_target(rated):
     train, test = rated
     users = S.top_neighbors(S.weighted_pearson(train), 3, min_sim=0.0)
-    items = S.top_neighbors(S.weighted_pearson(train, axis="item"), 5, min_sim=0.0)
+    items = S.weighted_pearson(train, axis="item")
     got = defaultdict(list)
     for r in sorted(rows_of(N.neighbor_ratings_by_item(test, users, items, train, n=2)), key=lambda r: r["rank"]):
         got[(r["user_id"], r["target"], r["neighbor"])].append(r["item_id"])
-    sims = {(r["a"], r["b"]): r["sim"] for r in rows_of(items)}
+    sims = {p: r["sim"] for r in rows_of(items) if r["sim"] > 0 for p in ((r["a"], r["b"]), (r["b"], r["a"]))}
     history = defaultdict(list)
     for r in rows_of(train):
         history[r["user_id"]].append((r["item_id"], r["rating"]))
@@ -181,7 +182,7 @@ def test_forests_and_clusters(spark):
     right = M.forest_on_vectors(train, test, ["vector"], "label", classify=True).filter("label = prediction").count()
     assert right >= 28
     assert E.rmse_mae(M.forest_on_vectors(train, test, ["vector"], "y"), "y", "prediction").first()["rmse"] < 0.3
-    assert E.rmse_mae(M.forest_on_titles(train, test, "title", "y", trees=10), "y", "prediction").first()["rmse"] < 0.8
+    assert E.rmse_mae(M.forest_on_titles(train, test, "id", "title", "y", trees=10), "y", "prediction").first()["rmse"] < 0.8
     clusters, _ = M.kmeans(df, "vector", 3)
     assert clusters.select("label", "cluster").distinct().count() == 3
     xy = M.project_2d(df, "vector").select("x", "y").first()
@@ -190,10 +191,40 @@ def test_forests_and_clusters(spark):
     assert sorted(r["title_id"] for r in ids) == [0, 1, 2]
 
 
+def test_rare_telling_term(spark):
+    """A term behind thousands of others decides, and rows without a known term are scored too."""
+    noise = [(i, f"filler{i} shared", 1.0) for i in range(4500)]
+    telling = [(10_000 + i, f"zzrare other{i}", 5.0) for i in range(200)]
+    train = spark.createDataFrame(noise + telling, "id int, title string, y double")
+    test = spark.createDataFrame([(1, "shared", 1.0), (2, "zzrare", 5.0), (3, "unknown", 1.0), (4, None, 1.0)], train.schema)
+    weights = M.tfidf(train, "id", "title")
+    assert weights.select("term").distinct().count() == 4500 + 200 + 2
+    got = {r["id"]: r["prediction"] for r in M.forest_on_titles(train, test, "id", "title", "y", trees=5).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2] > got[1] + 0.3 and got[2] > got[3]
+
+
 def test_bootstrap_covers_the_estimate(spark):
     rng = random.Random(9)
-    df = spark.createDataFrame([(i, i, 3.0, 3.0 + rng.gauss(0, 1)) for i in range(3000)], ["user_id", "item_id", "a", "p"])
-    row = E.bootstrap_interval(df, "a", "p", ["user_id", "item_id"]).first()
+    rows = [(3.0, 3.0 + round(rng.gauss(0, 1), 1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, ["a", "p"])
+    row = E.bootstrap_interval(df, "a", "p", resamples=2000).first()
     point = E.rmse_mae(df, "a", "p").first()
+    assert row["n_resamples"] == 2000
     assert row["rmse_low"] < point["rmse"] < row["rmse_high"] and row["rmse_high"] - row["rmse_low"] < 0.15
     assert row["mae_low"] < point["mae"] < row["mae_high"]
+    # as wide as the plain bootstrap
+    x = np.array([(a - p) ** 2 for a, p in rows])
+    draws = np.sqrt(np.random.default_rng(4).choice(x, (2000, len(x))).mean(1))
+    width = np.quantile(draws, 0.975) - np.quantile(draws, 0.025)
+    assert abs((row["rmse_high"] - row["rmse_low"]) / width - 1) < 0.12
+
+
+@pytest.mark.parametrize("mean", [1, 7, 64, 65, 5000])
+def test_poisson_draws(spark, mean):
+    rows = spark.range(20_000).withColumn("f", F.lit(mean).cast("bigint"))
+    cdf = F.lit(E.poisson_cdf(mean)) if mean <= 64 else F.lit(None).cast("array<double>")
+    m = [r[0] for r in rows.select(E.poisson_draw(F.col("f"), cdf, F.md5(F.col("id").cast("string")))).collect()]
+    assert abs(np.mean(m) - mean) < 4 * math.sqrt(mean / len(m)) and abs(np.var(m) / mean - 1) < 0.05
+    if mean == 1:
+        for k in range(4):
+            assert abs(np.mean(np.array(m) == k) - math.exp(-1) / math.factorial(k)) < 0.015

@@ -242,11 +242,81 @@ def test_vector_pairs_against_brute_force(points, bound):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(data, bound)
 
 
+def brute_knn(data, k, bound=-2.0):
+    m = np.array([v for _, v in data])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(m @ m.T, 6)
+    return {a: [b for b in sorted((b for b in range(len(m)) if b != a and sims[a, b] >= bound),
+                                  key=lambda b: (-sims[a, b], b))[:k]] for a in range(len(m))}
+
+
+@pytest.mark.parametrize("bound, k", [(None, 4), (None, 70), (0.8, 5)])
+def test_nearest_of_every_vector_and_copy(points, bound, k):
+    """A third of all rows are copies: each of them has its own k nearest, copies first."""
+    df, data = points
+    near = VS.unit_pairs(df, "vec_id", F.col("vector"), bound or -1.0, pivots=9, block=16, k=k)
+    rows = VS.with_copies(VS._units(df, "vec_id", "vector"), near, k).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["a"], {})[r["rn"]] = r["b"]
+    want = brute_knn(data, k, bound if bound else -2.0)
+    assert {a: [x[i + 1] for i in range(len(x))] for a, x in got.items()} == {a: b for a, b in want.items() if b}
+
+
+def test_few_vectors_and_none(spark):
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0])], "vec_id bigint, vector array<double>")
+    assert edges(VS.knn_all(few, "vec_id", "vector", 5)) == [(1, 2, 1.0, 1), (2, 1, 1.0, 1)]
+    assert VS.knn_all(few.filter("vec_id > 9"), "vec_id", "vector", 5).count() == 0
+
+
 def test_lsh_recall(points):
     df, data = points
-    exact = {(r["a"], r["b"]) for r in VS.knn_within(df.filter("vec_id < 120"), "vec_id", "vector", 3, 0.8).collect()}
-    found = {(r["a"], r["b"]) for r in VS.knn_lsh(df.filter("vec_id < 120"), "vec_id", "vector", 3, 0.8, bits=4).collect()}
+    exact = {(r["a"], r["b"]) for r in VS.knn_within(df, "vec_id", "vector", 3, 0.8).collect()}
+    found = {(r["a"], r["b"]) for r in VS.knn_lsh(df, "vec_id", "vector", 3, 0.8, bits=4).collect()}
     assert len(exact & found) / len(exact) > 0.8
+    copies = {a for a, _ in found if a >= 120}
+    assert copies == set(range(120, 180))
+
+
+@pytest.mark.parametrize("marks", [[0.0, 0.25, 0.5, 0.75, 1.0], [0.1]])
+def test_exact_quantiles(spark, marks):
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=301) * 10.0 ** rng.integers(-300, 300, 301), "b": np.repeat(1 / 3, 50),
+              None: np.array([-0.0, 0.0, -1.0, 5e-324, -5e-324]), "one": np.array([2.5])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("nulls", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r["k"]: r for r in R.exact_quantiles(df, "k", "v", marks).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        assert got[k]["n"] == len(v)
+        assert np.allclose(got[k]["quantiles"], np.quantile(v, marks), rtol=1e-12, atol=0)
+
+
+def test_profiles_of_several_attributes(spark):
+    items = spark.createDataFrame([(i, f"b{i % 2000}", None if i % 7 else "x", ["t", f"t{i % 3}"]) for i in range(3000)],
+                                  "item_id int, brand string, kind string, words array<string>")
+    rng = random.Random(3)
+    data = [(u, i, float(rng.randint(1, 5))) for u in range(12) for i in rng.sample(range(3000), 40)]
+    ratings = spark.createDataFrame(data, "user_id int, item_id int, rating double")
+    rows = S.feature_profiles(ratings, S.item_traits(items, "item_id")).collect()
+    traits = {i: [("brand", f"b{i % 2000}"), ("words", "t"), ("words", f"t{i % 3}")] + ([] if i % 7 else [("kind", "x")])
+              for i in range(3000)}
+    want = {}
+    for u, i, x in data:
+        for t in traits[i]:
+            want.setdefault(u, {}).setdefault(t, 0.0)
+            want[u][t] += x
+    for u, w in want.items():
+        for name in {a for a, _ in w}:
+            length = math.sqrt(sum(x * x for (a, _), x in w.items() if a == name))
+            w.update({t: x / length / math.sqrt(3) for t, x in w.items() if t[0] == name})
+    got = {(r["user_id"], r["attribute"], r["value"]): r["w"] for r in rows}
+    assert got.keys() == {(u, *t) for u, w in want.items() for t in w}
+    assert all(abs(got[u, a, v] - want[u][a, v]) < 1e-9 for u, a, v in got)
+    edges_ = spark.createDataFrame([(0, 1, 3, 0.5), (2, 5, 4, -0.25)], "a int, b int, n_common int, sim double")
+    for r in S.feature_augmented(edges_, S.feature_profiles(ratings, S.item_traits(items, "item_id"))).collect():
+        dot = sum(x * want[r["b"]].get(t, 0) for t, x in want[r["a"]].items())
+        assert abs(r["profile_sim"] - dot) < 2e-6
 
 
 def test_unsupported_metric(points):
