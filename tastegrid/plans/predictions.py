@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tastegrid import constants as C
 from tastegrid.functions import vectors as V
 from tastegrid.operators import (
-    context as X, evaluate as E, models as M, neighbors as N, scoring as B, similarity as S, splits as P,
+    blocktrain as BT, context as X, evaluate as E, models as M, neighbors as N, scoring as B, similarity as S,
+    splits as P, vectorsim as VS,
 )
 from tastegrid.plans.base import (
     DRAWN, LOO, SEQ, TITLED, UI, USER_NEIGHBORS, item_edges, item_neighbors, r6, ratings, sequential, side,
@@ -286,11 +287,19 @@ def log_loss(spark, d):
 
 # --- models (no SQL form) -------------------------------------------------------------------
 
+def with_negatives(positives, num_negatives):
+    """(user_id, item_id, label): the positives, and items drawn for each of them as negatives."""
+    drawn = P.negative_samples(positives, positives.select("item_id").distinct(), num_negatives=num_negatives)
+    return drawn.select("user_id", "item_id", "label")
+
+
 @query()
 def mf_implicit(spark, d):
-    """User and item factors learned from implicit feedback."""
-    r = ratings(spark, d).select("user_id", "item_id", "rating")
-    return M.factors(M.fit_implicit(r))
+    """User and item factors learned from implicit feedback and drawn negatives under logistic loss."""
+    model = BT.fit_logistic(with_negatives(ratings(spark, d), C.NUM_NEGATIVES), epochs=4)
+    sides = [f.select(F.lit(name).alias("side"), "id", F.col("w").alias("features"))
+             for name, f in (("user", model.users), ("item", model.items))]
+    return sides[0].unionByName(sides[1])
 
 
 @query()
@@ -303,23 +312,32 @@ def mf_explicit(spark, d):
 @query()
 def mf_score_pairs(spark, d):
     split = sequential(spark, d)
-    train, test = side(split, "train"), side(split, "test")
-    model = M.fit_implicit(train.select("user_id", "item_id", "rating"))
-    return M.score_pairs(model, test.select("user_id", "item_id", "rating"))
+    model = BT.fit_logistic(with_negatives(side(split, "train"), 1), epochs=4)
+    return BT.score_logistic(model, side(split, "test").select("user_id", "item_id", "rating"))
 
 
 @query()
 def ncf_mlp(spark, d):
-    """Perceptron on factor features, labels from negative sampling."""
-    r = ratings(spark, d)
-    labelled = P.negative_samples(r, r.select("item_id").distinct(), num_negatives=1)
-    halves = P.split_global(labelled)
-    # factors of the train positives alone, so that nothing of the test rows is in the features
-    liked = side(halves, "train").filter("label = 1").select("user_id", "item_id", F.lit(1.0).alias("rating"))
-    model = M.fit_implicit(liked, rank=8)
-    rows = M.ncf_features(model, halves)
-    tower = M.fit_ncf(side(rows, "train").select("features", "label"), 8)
-    return tower.transform(side(rows, "test")).select("user_id", "item_id", "label", "prediction")
+    """Product branch beside a perceptron tower, labels from negative sampling; test rows are not trained on."""
+    halves = stage(P.split_global(with_negatives(ratings(spark, d), 1)), "labelled")
+    model = BT.fit_network(side(halves, "train"), epochs=4)
+    return BT.score_network(model, side(halves, "test"))
+
+
+@query()
+def cf_latent(spark, d):
+    """User kNN with the neighbours that factors of the train rows give."""
+    split = sequential(spark, d)
+    train, test = side(split, "train"), side(split, "test")
+    return N.predict_user_knn(train, test, latent_neighbors(train, 20)).select(
+        "user_id", "item_id", "rating", "prediction", "n_neighbors")
+
+
+def latent_neighbors(train, k):
+    """(a, b, sim, rn): users with the nearest factors, by cosine; those of a positive similarity count."""
+    users, _ = M.explicit_factors(train)
+    near = VS.knn_all(users, "user_id", "vector", k).withColumn("sim", 1 - F.col("distance"))
+    return near.filter(F.col("sim") > 0).select("a", "b", "sim", "rn")
 
 
 @query()

@@ -8,7 +8,7 @@ from tests.oracle import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
 NO_SQL = {
-    "knn_lsh", "mf_implicit", "mf_explicit", "mf_score_pairs", "ncf_mlp", "rf_embeddings",
+    "knn_lsh", "mf_implicit", "mf_explicit", "mf_score_pairs", "ncf_mlp", "cf_latent", "rf_embeddings",
     "rf_classifier", "rf_tfidf", "kmeans", "pca2d", "rouge_l",
 }
 

@@ -7,9 +7,13 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
-from tastegrid.operators import context as X, evaluate as E, models as M, neighbors as N, similarity as S, splits as P
+from tastegrid.operators import (
+    blocktrain as BT, context as X, evaluate as E, models as M, neighbors as N, similarity as S, splits as P,
+    vectorsim as VS,
+)
 
 
 @pytest.fixture(scope="module")
@@ -158,16 +162,88 @@ def test_explicit_factors_beat_the_mean(rated):
             < E.rmse_mae(spread, "rating", "p").first()["rmse"])
 
 
-def test_implicit_factors(rated):
-    train, test = rated
-    model = M.fit_implicit(train.select("user_id", "item_id", "rating"), rank=4, iterations=5)
-    table = M.factors(model)
-    assert table.filter("side = 'user'").count() == 60 and table.filter("side = 'item'").count() == 40
-    unknown = test.sparkSession.createDataFrame([(0, 999)], ["user_id", "item_id"])
-    assert M.score_pairs(model, unknown).first()["prediction"] is None
-    labelled = P.negative_samples(train, train.select("item_id").distinct(), num_negatives=1)
-    tower = M.fit_ncf(M.ncf_features(model, labelled).select("features", "label"), 4, iterations=5)
-    assert tower.transform(M.ncf_features(model, labelled)).filter("prediction is null").count() == 0
+@pytest.fixture(scope="module")
+def liked(spark):
+    """(train, test) labels: user and item are of one of three kinds; positives are of the same kind, and a
+    third of them go to one item that everybody likes."""
+    rng = random.Random(17)
+    rows = []
+    for u in range(90):
+        for _ in range(24):
+            i = rng.randrange(1, 60)
+            rows.append((u, i, int(u % 3 == i % 3)))
+        rows += [(u, 0, 1)] * 4
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(u, i, y, n % 5 == 0) for n, (u, i, y) in enumerate(rows)], "user_id int, item_id int, label int, held boolean")
+    return df.filter("NOT held").drop("held").cache(), df.filter("held").drop("held").cache()
+
+
+def log_loss_of(scored):
+    p = F.greatest(F.least("prediction", F.lit(1 - 1e-6)), F.lit(1e-6))
+    return scored.agg(F.avg(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
+
+
+def test_logistic_factors(liked):
+    train, test = liked
+    model = BT.fit_logistic(train, rank=4, epochs=12, blocks=3, rate=0.2)
+    assert model.losses[-1] < 0.5 * model.losses[0]
+    scored = BT.score_logistic(model, test)
+    als = ALS(userCol="user_id", itemCol="item_id", ratingCol="label", rank=4, maxIter=12, implicitPrefs=True, seed=1).fit(train)
+    assert log_loss_of(scored) < min(0.33, log_loss_of(als.transform(test)))
+    unknown = test.sparkSession.createDataFrame([(0, 999), (None, 1)], "user_id int, item_id int")
+    assert [r["prediction"] for r in BT.score_logistic(model, unknown).collect()] == [None, None]
+    # the rows' order and partitions decide nothing
+    again = BT.fit_logistic(train.repartition(9, "label"), rank=4, epochs=2, blocks=3)
+    once = BT.fit_logistic(train, rank=4, epochs=2, blocks=3)
+    assert again.losses == once.losses
+    a, b = ({r["id"]: r["w"] for r in m.users.collect()} for m in (again, once))
+    assert a == b and len(a) == 90
+
+
+def test_two_branch_network(liked):
+    train, test = liked
+    model = BT.fit_network(train, rank=4, epochs=10, blocks=3, rate=0.2)
+    scored = BT.score_network(model, test).filter("item_id > 0")
+    popular = train.groupBy("item_id").agg(F.avg("label").alias("prediction"))
+
+    def right(rows):  # share of (positive, negative) pairs in the right order
+        p = [(r["prediction"], r["label"]) for r in rows.collect()]
+        pos, neg = [x for x, y in p if y], [x for x, y in p if not y]
+        return np.mean([(x > y) + 0.5 * (x == y) for x in pos for y in neg])
+
+    assert right(scored) > 0.8 > right(test.filter("item_id > 0").join(popular, "item_id")) + 0.1
+    assert model.losses[-1] < model.losses[0]
+
+
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(1)
+    rank, tower = 3, (5, 4)
+    size = sum(int(np.prod(s)) for s in BT._layers(rank, tower))
+    w, u, v = rng.standard_normal(size) * 0.5, rng.standard_normal((6, 6)), rng.standard_normal((6, 6))
+    y = np.array([0, 1, 1, 0, 1, 0.0])
+    loss = lambda w, u, v: BT._network(w, rank, tower)(u, v, y)[2]
+    gu, gv, _, gw = BT._network(w, rank, tower)(u, v, y)
+    for x, g, at in ((u, gu, (2, 1)), (u, gu, (0, 4)), (v, gv, (5, 5)), (v, gv, (1, 0)), (w, gw, (7,)), (w, gw, (size - 2,))):
+        up, down = x.copy(), x.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        args = lambda z: [z if a is x else a for a in (w, u, v)]
+        assert abs((loss(*args(up)) - loss(*args(down))) / 2e-5 - g[at]) < 1e-4
+
+
+def test_latent_neighbors(rated):
+    """Neighbours by factors, against brute force on the same factors."""
+    train, _ = rated
+    users, items = M.explicit_factors(train, rank=4, iterations=8)
+    assert users.count() == 60 and items.count() == 40
+    rows = sorted((r["user_id"], r["vector"]) for r in users.collect())
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(m @ m.T, 6)
+    got = {(r["a"], r["rn"]): r["b"] for r in VS.knn_all(users, "user_id", "vector", 3).collect()}
+    for i, (a, _) in enumerate(rows):
+        best = sorted((j for j in range(60) if j != i), key=lambda j: (-sims[i, j], rows[j][0]))[:3]
+        assert [got[a, n + 1] for n in range(3)] == [rows[j][0] for j in best]
 
 
 def test_forests_and_clusters(spark):
