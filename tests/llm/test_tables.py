@@ -72,6 +72,29 @@ def test_urls(spark):
     assert urls.filtered(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("others", [5, 30, 31, 400])
+def test_url_branches_do_not_depend_on_their_number(spark, others):
+    """A labelled branch keeps its verdict however many further words its host has."""
+    rows = [f"http://x.com/de/{w}" for w in "abcdef" for _ in range(10)] + [f"http://x.com/fr/{w}" for w in "abcdef" for _ in range(10)]
+    rows += ["http://x.com/de"] + [f"http://x.com/word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(others)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {rows[r.id]: r for r in urls.filtered(df).collect()}
+    assert got["http://x.com/de"].verdict == "block" and got["http://x.com/de"].rule is None
+    assert got["http://x.com/wordaa"].verdict == "allow" and got["http://x.com/wordaa"].template.endswith("*")
+
+
+def test_url_branch_far_down(spark):
+    """Branches at depth six are told apart, and a very long path ends the tree where nothing splits."""
+    rules = (("y.com", "/p/q/r/s/bad/", "block"), ("y.com", "/p/q/r/s/good/", "allow"))
+    rows = [f"http://y.com/p/q/r/s/{w}/{c}" for w in ("bad", "good") for c in "abcde" for _ in range(10)]
+    rows += ["http://y.com/p/q/r/s/bad", "http://y.com/p/q/r/s/good", "http://y.com/" + "deep/" * 3000, None, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.id: r for r in urls.filtered(df, rules).collect()}
+    assert len(got) == len(rows)
+    assert [got[100].verdict, got[101].verdict] == ["block", "allow"]
+    assert got[0].template != got[60].template and got[0].purity > 0.9 and got[60].purity < 0.1
+
+
 @pytest.fixture(scope="module")
 def con():
     return duck(FOLDER)
