@@ -38,15 +38,6 @@ ITEM_SIDE_REVIEWS = [
     "tech1", "tech2", "also_buy", "also_view", "details", "main_cat",
     "similar_item", "date", "rank",
 ]
-INTERACTION_SIDE_REVIEWS = [
-    "reviewText", "rating", "summary", "unixReviewTime", "reviewTime", "vote", "style",
-]
-USER_SIDE_REVIEWS = ["reviewerID", "reviewerName", "verified"]
-
-# Column groups of the movie-rating data.
-ITEM_SIDE_MOVIES = ["MovieID", "Title", "Genres"]
-INTERACTION_SIDE_MOVIES = ["Rating", "Timestamp"]
-USER_SIDE_MOVIES = ["UserID", "Gender", "Age", "Occupation", "Zip-code"]
 
 # Prompt wording.
 ZERO_SHOT_TEMPLATE = (

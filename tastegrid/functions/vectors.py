@@ -17,10 +17,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
 
 
-def as_double(a: Column) -> Column:
-    return a.cast("array<double>")
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body``; an expression captured by a lambda
     would be evaluated again for every element."""

@@ -8,7 +8,7 @@ from tastegrid.operators import (
     evaluate as E, models as M, neighbors as N, report as R, splits as P, textmetrics as X,
 )
 from tastegrid.plans.base import (
-    LOO, RATINGS, SEQ, UI, digest, digest_int, item_neighbors, r6, sequential, side, user_neighbors,
+    LOO, RATINGS, SEQ, digest, digest_int, item_neighbors, r6, sequential, side, user_neighbors,
     weighted_neighbors,
 )
 from tastegrid.plans.cleaning import SCORED

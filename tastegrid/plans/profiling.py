@@ -10,7 +10,6 @@ from tastegrid.plans.base import (
     DRAWN, RAW, RATINGS, SEQ, TITLED, UI, VECTORS, digest, digest_int, dot, norm, r6, ratings, titled,
 )
 from tastegrid.plans.cleaning import POPULAR
-from tastegrid.session import stage
 from tastegrid.sources import tables as T
 
 QUERIES, ORACLES = {}, {}

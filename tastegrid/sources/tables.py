@@ -49,16 +49,6 @@ def titled_ratings(spark: SparkSession, folder: str) -> DataFrame:
     ).select("user_id", "item_id", "rating", "ts", "title")
 
 
-def brand_ratings(spark: SparkSession, folder: str) -> DataFrame:
-    """Ratings with the brand in the item role (few, dense items)."""
-    brands = items(spark, folder).select("item_id", "brand")
-    return (
-        rating_lines(spark, folder).join(brands, "item_id")
-        .groupBy("user_id", F.col("brand").alias("item_id"))
-        .agg(F.avg("rating").alias("rating"), F.min("ts").alias("ts"))
-    )
-
-
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label"
