@@ -160,15 +160,16 @@ def conflicts(ratings: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
 
 def sweep(
     pairs: DataFrame, neighbors: DataFrame, train: DataFrame,
-    neighbor_counts: list[int], rating_counts: list[int], roles: Roles = DEFAULT,
+    neighbor_counts: list[int], rating_counts: list[int], roles: Roles = DEFAULT, how: str = "top",
 ) -> DataFrame:
     """RMSE and MAE for every (neighbours, ratings per neighbour) setting in one pass.
+    ``how`` picks a neighbour's ratings as in :func:`rated_lists`.
 
     The widest setting is joined once; each row is then counted in every setting whose
     limits it meets. The prediction is the similarity-weighted mean of the ratings.
     """
     user, item, rating = roles.user, roles.item, roles.rating
-    lists = rated_lists(train, max(rating_counts), "top", roles).select(
+    lists = rated_lists(train, max(rating_counts), how, roles).select(
         F.col(user).alias("_n"), F.col(rating).alias("_r"), "rank"
     )
     who = neighbors.select(F.col("a").alias(user), F.col("b").alias("_n"), "sim", "rn")

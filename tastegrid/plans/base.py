@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastegrid.operators import splits as P, topk as K
+from tastegrid.operators import similarity as S, splits as P, topk as K
 from tastegrid.session import stage
 from tastegrid.sources import tables as T
 
 ITEM_NEIGHBORS = 20
 USER_NEIGHBORS = 20
+COSINE_BOUND, JACCARD_BOUND = 0.05, 0.03  # of neighbours
 
 
 # --- DataFrames ------------------------------------------------------------------
@@ -37,6 +38,21 @@ def user_neighbors(train: DataFrame, k: int) -> DataFrame:
     return K.top_weighted_pearson(train, k, axis="user", min_sim=0.0)
 
 
+def neighbors_by(train: DataFrame, k: int, similarity: str) -> DataFrame:
+    """The k nearest users by ``weighted`` or plain ``pearson``, ``cosine`` or ``jaccard``; positive ones count."""
+    if similarity == "weighted":
+        return user_neighbors(train, k)
+    if similarity == "pearson":
+        edges = S.pearson(train, axis="user")
+    elif similarity == "cosine":
+        edges = S.cosine(train, axis="user", min_sim=COSINE_BOUND)
+    elif similarity == "jaccard":
+        edges = S.jaccard(train, axis="user", min_sim=JACCARD_BOUND)
+    else:
+        raise ValueError(f"unknown similarity: {similarity}")
+    return S.top_neighbors(edges, k, min_sim=0.0)
+
+
 def item_neighbors(train: DataFrame, k: int = ITEM_NEIGHBORS) -> DataFrame:
     return K.top_weighted_pearson(train, k, axis="item", min_sim=0.0)
 
@@ -122,6 +138,22 @@ def item_edges() -> str:
 item_sims AS (SELECT a, b, sim FROM (SELECT a, b, {WEIGHTED} AS sim FROM item_pairs WHERE {VARIES}) WHERE sim > 0)"""
 
 
+def neighbors_cte(similarity: str, k: int) -> str:
+    """CTEs up to ``user_nb`` for :func:`neighbors_by` on train."""
+    pairs = pair_cte("user_pairs", "train", "user", 2 if similarity == "pearson" else 1)
+    if similarity == "pearson":
+        edges = f"user_edges AS (SELECT a, b, n_common, {PEARSON} AS sim FROM user_pairs)"
+    elif similarity == "cosine":
+        edges = f"""lengths AS (SELECT user_id AS k, sqrt(sum(rating * rating)) AS len FROM train GROUP BY 1),
+user_edges AS (SELECT * FROM (SELECT a, b, n_common, {r6('sxy / (x.len * y.len)')} AS sim
+  FROM user_pairs JOIN lengths x ON x.k = a JOIN lengths y ON y.k = b) WHERE sim >= {COSINE_BOUND})"""
+    else:
+        edges = f"""sizes AS (SELECT user_id AS k, count(*) AS n FROM train GROUP BY 1),
+user_edges AS (SELECT * FROM (SELECT a, b, n_common, {r6('n_common / CAST(x.n + y.n - n_common AS DOUBLE)')} AS sim
+  FROM user_pairs JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b) WHERE sim >= {JACCARD_BOUND})"""
+    return f"{pairs},\n{edges},\n{top_cte('user_nb', 'user_edges', k)}"
+
+
 VECTORS = """vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"""
 
 

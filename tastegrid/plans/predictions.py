@@ -11,7 +11,7 @@ from tastegrid.operators import (
     splits as P, vectorsim as VS,
 )
 from tastegrid.plans.base import (
-    DRAWN, LOO, SEQ, TITLED, UI, USER_NEIGHBORS, item_edges, item_neighbors, r6, ratings, sequential, side,
+    DRAWN, LOO, SEQ, TITLED, UI, USER_NEIGHBORS, item_edges, item_neighbors, neighbors_by, neighbors_cte, r6, ratings, sequential, side,
     titled, user_neighbors, weighted_neighbors,
 )
 from tastegrid.plans.profiling import event_vectors
@@ -70,19 +70,43 @@ def pred_user_knn(spark, d):
     return user_knn(spark, d).select("user_id", "item_id", "rating", "n_neighbors", "prediction")
 
 
-@query(f"""WITH {SEQ}, {weighted_neighbors('user', USER_NEIGHBORS)}, {USER_KNN}
-SELECT count(*) AS n, count(*) FILTER (WHERE n_neighbors > 0) AS n_covered,
+CF_SCORES = f"""SELECT count(*) AS n, count(*) FILTER (WHERE n_neighbors > 0) AS n_covered,
   {r6('sqrt(avg((rating - prediction) * (rating - prediction)))')} AS rmse,
-  {r6('avg(abs(rating - prediction))')} AS mae FROM uk""")
-def cf_pipeline(spark, d):
+  {r6('avg(abs(rating - prediction))')} AS mae FROM uk"""
+
+
+def cf_scores(spark, d, similarity="weighted"):
     """Split by time, learn neighbours on train only, predict the test rows, score them."""
+    split = sequential(spark, d)
+    train, test = side(split, "train"), side(split, "test")
+    scored = N.predict_user_knn(train, test, neighbors_by(train, USER_NEIGHBORS, similarity))
     e = F.col("rating") - F.col("prediction")
-    return user_knn(spark, d).agg(
+    return scored.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_neighbors") > 0).alias("n_covered"),
         F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(F.abs(e)), 6).alias("mae"),
     )
 
 
+@query(f"WITH {SEQ}, {weighted_neighbors('user', USER_NEIGHBORS)}, {USER_KNN} {CF_SCORES}")
+def cf_pipeline(spark, d):
+    return cf_scores(spark, d)
+
+
+@query(f"WITH {SEQ}, {neighbors_cte('pearson', USER_NEIGHBORS)}, {USER_KNN} {CF_SCORES}")
+def cf_pearson(spark, d):
+    return cf_scores(spark, d, "pearson")
+
+
+@query(f"WITH {SEQ}, {neighbors_cte('cosine', USER_NEIGHBORS)}, {USER_KNN} {CF_SCORES}")
+def cf_cosine(spark, d):
+    return cf_scores(spark, d, "cosine")
+
+
+@query(f"WITH {SEQ}, {neighbors_cte('jaccard', USER_NEIGHBORS)}, {USER_KNN} {CF_SCORES}")
+def cf_jaccard(spark, d):
+    return cf_scores(spark, d, "jaccard")
+
+
 ITEM_KNN = """ik AS (SELECT c.user_id, c.item_id, {p} AS prediction FROM {pairs} c
   JOIN item_nb nb ON nb.a = c.item_id JOIN train h ON h.user_id = c.user_id AND h.item_id = nb.b GROUP BY 1, 2)"""
 _IK = r6("sum(nb.sim * h.rating) / nullif(sum(abs(nb.sim)), 0)")
@@ -129,17 +153,31 @@ def mf_bias_baseline(spark, d):
 _GRID = ", ".join(f"({k}, {n})" for k in (1, 3, 5) for n in (1, 3, 5))
 
 
-@query(f"""WITH {SEQ}, {weighted_neighbors('user', 5)}, grid(k, n) AS (VALUES {_GRID}),
-lists AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS rank FROM train),
+def _sweep_sql(order: str) -> str:
+    return f"""WITH {SEQ}, {weighted_neighbors('user', 5)}, grid(k, n) AS (VALUES {_GRID}),
+lists AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rank FROM train),
 pr AS (SELECT a AS user_id, k, n, sum(sim * rating) / sum(sim) AS p FROM user_nb JOIN lists ON lists.user_id = b
   JOIN grid ON rn <= k AND rank <= n GROUP BY 1, 2, 3)
 SELECT CAST(k AS INTEGER) AS n_neighbors, CAST(pr.n AS INTEGER) AS n_ratings, count(*) AS n,
   {r6('sqrt(avg((rating - p) * (rating - p)))')} AS rmse, {r6('avg(abs(rating - p))')} AS mae
-FROM test JOIN pr USING (user_id) GROUP BY 1, 2""")
-def sweep_neighbors(spark, d):
+FROM test JOIN pr USING (user_id) GROUP BY 1, 2"""
+
+
+def _sweep(spark, d, how):
     split = sequential(spark, d)
     train, test = side(split, "train"), side(split, "test")
-    return N.sweep(test, user_neighbors(train, 5), train, [1, 3, 5], [1, 3, 5])
+    return N.sweep(test, user_neighbors(train, 5), train, [1, 3, 5], [1, 3, 5], how=how)
+
+
+@query(_sweep_sql("rating DESC, item_id"))
+def sweep_neighbors(spark, d):
+    return _sweep(spark, d, "top")
+
+
+@query(_sweep_sql(UI))
+def sweep_random(spark, d):
+    """The sweep over random ratings of the neighbours."""
+    return _sweep(spark, d, "random")
 
 
 # --- context text -----------------------------------------------------------------------
