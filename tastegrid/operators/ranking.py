@@ -1,11 +1,9 @@
 """Ranking that never needs a whole unbounded group in one task.
 
 * ``top_k`` – small k per group; Spark trims each map partition to k rows first.
-* ``heavy_keys`` – the few keys that hold more than a fixed share of the rows. At
-  most ``1 / share`` keys can, so the result has a proven size bound.
+* ``range_ranks`` – each row's place in its group, from ranges of the sorted table.
 * ``first_rows`` – "the first n rows in this order" as a filter with literal cut
   values, found by successively finer histograms; the data itself is not shuffled.
-* ``group_cuts`` – the same, for the n-th row of each heavy group.
 * ``row_index`` – a global row number from a 65,536-cell histogram.
 * ``exact_quantiles`` – order statistics of doubles, digit by digit from counts.
 """
@@ -22,8 +20,6 @@ from pyspark.sql.types import DoubleType, LongType
 
 from tastegrid.session import stage
 
-HEAVY_MIN_ROWS = 1_000_000
-HEAVY_SHARE = 1e-4
 CELL_ROWS = 1_000_000
 PREFIX_HEX = 4  # 16**4 = 65,536 cells
 DIGIT_BITS = 16
@@ -35,20 +31,30 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def heavy_keys(
-    df: DataFrame, keys: list[str], min_rows: int = HEAVY_MIN_ROWS, share: float = HEAVY_SHARE
-) -> DataFrame | None:
-    """Keys with more than ``max(min_rows, share * rows)`` rows and their ``n_rows``.
+def range_ranks(df: DataFrame, keys: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
+    """Adds ``_rank`` (from 1, by ``order``) and ``_rows`` of each row's group.
 
-    Returns None when there is none. By pigeonhole the result has fewer than
-    ``1 / share`` rows, so it may be broadcast.
+    The table is cut into ranges of (keys, order) and written; a group's ranges are counted, and
+    a row's rank is the count of its group's earlier ranges plus its place in its own. A group
+    may have any number of rows: what is sorted together is a group's part of one range.
+    ``order`` must be total but for equal rows.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    rows, largest = counts.agg(F.sum("n_rows"), F.max("n_rows")).first()
-    cutoff = max(min_rows, math.ceil((rows or 0) * share))
-    if largest is None or largest <= cutoff:
-        return None
-    return counts.filter(F.col("n_rows") > cutoff)
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(names, order)))
+    by = [*[F.col(k) for k in keys], *[F.col(n) for n in names]]
+    ranged = keyed.repartitionByRange(parts, *by) if parts else keyed.repartitionByRange(*by)
+    placed = stage(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    group = W.partitionBy(*keys)
+    before = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(  # a row per group and range that it lies in
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("_rows"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    inside = W.partitionBy(*keys, "_range").orderBy(*names)
+    ranked = placed.withColumn("_rank", F.row_number().over(inside)).join(
+        offsets, same & (F.col("_range") == F.col("_r")))
+    return ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).select(*df.columns, "_rank", "_rows")
 
 
 def _before(names: list[str], values: list) -> Column:
@@ -117,29 +123,11 @@ def time_levels(ts: str, digest: Column) -> dict[str, Column]:
     }
 
 
-def group_cuts(
-    df: DataFrame, keys: list[str], targets: DataFrame, levels: list[str], target: str
-) -> DataFrame:
-    """For each key of ``targets`` the level values of its ``target``-th row.
-
-    ``targets`` must be bounded (see ``heavy_keys``); one row per key comes back.
-    """
-    cell = df.join(F.broadcast(targets.select(*keys, F.col(target).alias("_left"))), keys)
-    for name in levels[:-1]:
-        w = W.partitionBy(*keys).orderBy(name)
-        hist = cell.groupBy(*keys, name, "_left").agg(F.count(F.lit(1)).alias("_c"))
-        edge = (
-            hist.withColumn("_cum", F.sum("_c").over(w))
-            .filter((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("_c") < F.col("_left")))
-            .select(*keys, name, (F.col("_left") - F.col("_cum") + F.col("_c")).alias("_left"))
-        )
-        cell = cell.drop("_left").join(F.broadcast(edge), [*keys, name])
-    w = W.partitionBy(*keys).orderBy(levels[-1])
-    return (
-        cell.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") == F.col("_left"))
-        .select(*keys, F.struct(*levels).alias("_cut"))
-    )
+def double_levels(value: Column, prefix: str = "_d") -> dict[str, Column]:
+    """Levels for an order by a double: its bits, 16 at a time, so that each histogram is bounded."""
+    bits = ordered_bits(value.cast("double"))
+    return {f"{prefix}{64 - shift}": F.shiftright(bits, shift) if shift else bits
+            for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS)}
 
 
 def row_index(df: DataFrame, digest: Column, name: str = "row_idx") -> DataFrame:

@@ -28,35 +28,16 @@ def split_sequential(
     roles: Roles = DEFAULT,
     train_ratio: float = TRAIN_RATIO,
     seed: int = SEED,
-    heavy_rows: int = R.HEAVY_MIN_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Per user: the first ``floor(n * ratio)`` rows by time are train, the rest test.
 
-    Ordinary users are ranked with a window. A user that holds more than a fixed
-    share of all rows is cut by histograms instead, so no task sorts that user.
+    Rows lie in ranges of (user, time), so no task sorts more than a range, whatever a
+    user's share of all rows; see ``range_ranks``. ``parts`` is the number of ranges.
     """
-    digest = md5_key(*roles.key, seed=seed)
-    heavy = R.heavy_keys(df, [roles.user], min_rows=heavy_rows)
-    light = df if heavy is None else df.join(F.broadcast(heavy), roles.user, "left_anti")
-    w = W.partitionBy(roles.user)
-    ranked = light.withColumns({
-        "_rn": F.row_number().over(w.orderBy(roles.ts, digest)),
-        "_n": F.count(F.lit(1)).over(w),
-    })
-    split = F.when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(train_ratio)), "train")
-    result = ranked.withColumn("split", split.otherwise("test")).drop("_rn", "_n")
-    if heavy is None:
-        return result
-    levels = R.time_levels(roles.ts, digest)
-    rows = df.join(F.broadcast(heavy.select(roles.user)), roles.user, "left_semi").withColumns(levels)
-    targets = heavy.withColumn("_target", F.floor(F.col("n_rows") * F.lit(train_ratio)))
-    cuts = R.group_cuts(rows, [roles.user], targets, list(levels), "_target")
-    cut = (
-        rows.join(F.broadcast(cuts), roles.user, "left")
-        .withColumn("split", F.when(F.struct(*levels) <= F.col("_cut"), "train").otherwise("test"))
-        .select(*df.columns, "split")
-    )
-    return result.unionByName(cut)
+    ranked = R.range_ranks(df, [roles.user], [F.col(roles.ts), md5_key(*roles.key, seed=seed)], parts)
+    split = F.when(F.col("_rank") <= F.floor(F.col("_rows") * F.lit(train_ratio)), "train")
+    return ranked.withColumn("split", split.otherwise("test")).drop("_rank", "_rows")
 
 
 def _flagged(df: DataFrame, roles: Roles, k: int, seed: int, chosen: str, other: str) -> DataFrame:
@@ -176,7 +157,7 @@ def popular_items_blended(
 
 def _top_share(items, roles, score, share, seed, cell_rows):
     n = int(items.count() * share)
-    levels = {"_score": -score, **R.md5_levels(md5_key(roles.item, seed=seed))}
+    levels = {**R.double_levels(-score), **R.md5_levels(md5_key(roles.item, seed=seed))}
     leveled, chosen = R.first_rows(items, levels, n, cell_rows)
     return leveled.filter(chosen).drop(*levels)
 

@@ -139,22 +139,22 @@ def test_top_weighted_visits_few_pairs():
     assert sorted(zip(-np.round(got[3], 6), got[1]))[:5] == best
 
 
-def test_sequential_split_of_heavy_user(skewed):
-    plain = edges(P.split_sequential(skewed).select("user_id", "item_id", "split"))
-    cut = edges(P.split_sequential(skewed, heavy_rows=20).select("user_id", "item_id", "split"))
-    assert plain == cut
-
-
-def test_sequential_split_when_all_times_tie(skewed):
-    tied = skewed.withColumn("ts", F.lit(dt.datetime(2020, 1, 1)))
-    assert edges(P.split_sequential(tied).select("user_id", "item_id", "split")) == edges(
-        P.split_sequential(tied, heavy_rows=20).select("user_id", "item_id", "split"))
-
-
-def test_heavy_keys_are_bounded(skewed):
-    assert R.heavy_keys(skewed, ["user_id"], min_rows=10**6) is None
-    heavy = R.heavy_keys(skewed, ["user_id"], min_rows=1, share=0.1)
-    assert {r["user_id"] for r in heavy.collect()} == {0}
+@pytest.mark.parametrize("tied", [False, True])
+def test_sequential_split_of_a_user_with_half_of_all_rows(skewed, tied):
+    """Ranks from 9 ranges of the table are those of one sort per user, also when all times are equal."""
+    more = skewed.sparkSession.range(300).select(
+        F.lit(0).cast("bigint").alias("user_id"), (F.col("id") + 1000).alias("item_id"), F.lit(3.0).alias("rating"),
+        F.expr("timestamp'2020-01-01' + make_interval(0, 0, 0, 0, cast(id % 90 as int))").alias("ts"))
+    df = skewed.unionByName(more)
+    if tied:
+        df = df.withColumn("ts", F.lit(dt.datetime(2020, 1, 1)))
+    w = W.partitionBy("user_id")
+    plain = df.withColumn("rn", F.row_number().over(w.orderBy("ts", md5_key("user_id", "item_id")))).withColumn(
+        "n", F.count(F.lit(1)).over(w))
+    want = edges(plain.select("user_id", "item_id", F.when(F.expr("rn <= floor(n * 0.8D)"), "train").otherwise("test")))
+    cut = P.split_sequential(df, parts=9)
+    assert cut.columns == [*df.columns, "split"]
+    assert edges(cut.select("user_id", "item_id", "split")) == want
 
 
 @pytest.mark.parametrize("n", [0, 1, 66, 329, 330, 400])
