@@ -107,7 +107,7 @@ def test_query(spark, con, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_pipeline(spark):
