@@ -2,28 +2,33 @@
 
 Each document has four transformed statistics (word length, symbols, repeated words, repeated lines)
 on a whole-number grid. Per group, the half of the documents with the smallest distances gives centre
-and covariance, and concentration steps repeat that from a start of medians and median deviations;
-then all documents within the 97.5 % distance are weighed in. A document goes when its squared
-Mahalanobis distance is beyond the 99.99 % point. Sums over the grid are whole numbers, so results do
-not depend on the order of rows. Groups of fewer than ``MIN_DOCS`` documents are pooled per language, and
-what is still small over all languages. Variances have a floor: most documents hold no symbol and no
-repeated line, and without it half of a group would have a determinant of 0.
+and covariance. Concentration steps repeat that from several starts (medians with median deviations,
+all rows, and subsets drawn by a digest of the statistics); the start with the least determinant goes on until no
+determinant falls any more, and then all documents within the 97.5 % distance are weighed in. A
+document goes when its squared Mahalanobis distance is beyond the 99.99 % point. Sums over the grid are
+whole numbers, so results do not depend on the order of rows. Groups of fewer than ``MIN_DOCS``
+documents are pooled per language, and what is still small over all languages. A variance is never below
+``FLOORS`` squared: most documents hold no symbol and no repeated line, and half of a group would have
+a determinant of 0. A floor replaces a smaller variance and is not added to a greater one.
 
 Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastegrid.llm.common import keep, words
 
 MIN_DOCS = 50
-STEPS = 3
+#: Starts that are subsets, each a fraction 1 / SUBSETS of a group, besides the two starts of whole groups.
+SUBSETS = 3
+#: Concentration steps of every start, and at most of the best one.
+FIRST_STEPS, MOST_STEPS = 2, 20
 #: The grid of a statistic has whole numbers up to this.
 GRID = 8191
-#: Least standard deviation of each statistic, in grid units (1/1000).
-FLOORS = (80.0, 60.0, 220.0, 80.0)
+#: Least standard deviation of each statistic, in grid units (1/1000): about the noise of counts in texts of 150 words.
+FLOORS = (60.0, 60.0, 100.0, 60.0)
 # Fixed values of the chi-square distribution with 4 degrees of freedom.
 HALF_CONSISTENCY = 2.109  # 0.5 / P(chi2_6 <= median of chi2_4): half the rows understate the covariance
 WEIGHED_IN = 11.143  # 97.5 %
@@ -94,21 +99,23 @@ def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
 
 
-def _estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """Per group: means m0.. and the Cholesky factor l00, l10, l11, .. of the covariance with its floor."""
+def _estimate(rows: DataFrame, factor: float, keys: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """Per key: means m0.. and the Cholesky factor l00, l10, l11, .. of the covariance, with ``logdet``."""
     p = range(len(FEATURES))
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)]
     products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i in p for j in range(i + 1)]
-    out = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
-    out = out.select("grp", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in p], *[
-        (factor * F.greatest(F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n"),
-                             F.lit(0.0) if i == j else F.lit(-1e18))
-         + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-        for i in p for j in range(i + 1)])
-    return _factored(out)
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
 
+    def covariance(i: int, j: int) -> Column:
+        c = factor * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n"))
+        return F.greatest(c, F.lit(FLOORS[i] ** 2)) if i == j else c
 
-def _factored(out: DataFrame) -> DataFrame:
+    out = out.select(*keys, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in p], *[
+        covariance(i, j).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
+    return _factored(out, keys)
+
+
+def _factored(out: DataFrame, keys: tuple[str, ...] = ("grp",)) -> DataFrame:
     p = range(len(FEATURES))
     for i in p:
         for j in range(i + 1):
@@ -117,12 +124,13 @@ def _factored(out: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # the floor keeps the pivots away from 0
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("grp", *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)])
+    logdet = sum((2 * F.log(f"l{i}{i}") for i in p), F.lit(0.0))
+    return out.select(*keys, *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)], logdet.alias("logdet"))
 
 
 def _distance(rows: DataFrame, estimate: DataFrame, name: str) -> DataFrame:
-    """Rows with their squared Mahalanobis distance."""
-    own = rows.columns
+    """Rows with their squared Mahalanobis distance; once for each start if the estimates have some."""
+    own = rows.columns + [c for c in ("start",) if c in estimate.columns]
     out = rows.join(estimate, "grp")
     for i, x in enumerate(FEATURES):
         z = F.col(x) - F.col(f"m{i}")
@@ -138,22 +146,47 @@ def _bin(d: Column) -> Column:
     return F.floor(F.log2(d + 0.001) * 128).cast("long")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """The reweighted minimum-covariance-determinant estimate of every ``grp`` of rows with FEATURES."""
-    half = F.lit(0.5)
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, ..): an estimate of medians, one of all rows, and SUBSETS of rows that a digest picks."""
+    half, p = F.lit(0.5), range(len(FEATURES))
     middle = keep(rows.groupBy("grp").agg(*[F.percentile(x, half).alias(f"m{i}") for i, x in enumerate(FEATURES)]), "medians")
     spread = rows.join(middle, "grp").groupBy("grp").agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(FEATURES))],
+        *[F.first(f"m{i}").alias(f"m{i}") for i in p],
         *[F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), half).alias(f"d{i}") for i, x in enumerate(FEATURES)])
-    start = spread.select("grp", *[f"m{i}" for i in range(len(FEATURES))], *[
-        (F.pow(1.4826 * F.col(f"d{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}")
-        for i in range(len(FEATURES)) for j in range(i + 1)])
-    now = keep(_factored(start), "start")
-    for _ in range(STEPS):
-        far = _distance(rows, now, "d").withColumn("bin", _bin(F.col("d")))
-        cut = keep(far.groupBy("grp").agg(F.percentile("bin", half).alias("cut")), "cut")
-        now = keep(_estimate(far.join(cut, "grp").filter("bin <= cut"), HALF_CONSISTENCY), "half")
-    return keep(_estimate(_distance(rows, now, "d").filter(F.col("d") <= WEIGHED_IN), 1.0), "reweighted")
+    by_median = _factored(spread.select("grp", F.lit(-2).alias("start"), *[f"m{i}" for i in p], *[
+        (F.greatest(F.pow(1.4826 * F.col(f"d{i}"), 2), F.lit(FLOORS[i] ** 2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}")
+        for i in p for j in range(i + 1)]), ("grp", "start"))
+    everything = _estimate(rows.withColumn("start", F.lit(-1)), 1.0, ("grp", "start"))
+    # rows with equal statistics are in the same subset, whatever their order or partition
+    dealt = rows.withColumn("start", F.pmod(F.xxhash64(*FEATURES), F.lit(SUBSETS)).cast("int"))
+    return by_median.unionByName(everything).unionByName(_estimate(dealt, 1.0, ("grp", "start")))
+
+
+def _concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The estimate of the half of each group (and start) with the smallest distances."""
+    keys = tuple(c for c in ("grp", "start") if c in now.columns)
+    far = _distance(rows, now, "d").withColumn("bin", _bin(F.col("d")))
+    cut = keep(far.groupBy(*keys).agg(F.percentile("bin", F.lit(0.5)).alias("cut")), "cut")
+    return keep(_estimate(far.join(cut, list(keys)).filter("bin <= cut"), HALF_CONSISTENCY, keys), "half")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """The reweighted minimum-covariance-determinant estimate of every ``grp`` of rows with FEATURES."""
+    now = keep(_starts(rows), "starts")
+    for _ in range(FIRST_STEPS):
+        now = _concentrated(rows, now)
+    least = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))  # a row per start
+    best = keep(now.withColumn("_r", least).filter("_r = 1").drop("_r", "start"), "best")
+    for _ in range(MOST_STEPS):
+        after = _concentrated(rows, best)
+        old = best.select("grp", F.col("logdet").alias("_old"))
+        falls = after.join(old, "grp").filter(F.col("logdet") < F.col("_old") - 1e-9).limit(1).count()
+        if not falls:
+            break
+        # a group whose determinant no longer falls keeps what it has
+        better = after.join(old, "grp").filter(F.col("logdet") < F.col("_old")).drop("_old")
+        best = keep(better.unionByName(best.join(better.select("grp"), "grp", "left_anti")), "best")
+    return keep(_estimate(_distance(rows, best, "d").filter(F.col("d") <= WEIGHED_IN), 1.0), "reweighted")
 
 
 def fitted(stats: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -99,6 +99,59 @@ def test_estimate_is_the_weighted_one(spark):
     assert np.allclose([e.m0, e.m1, e.m2, e.m3], clean, rtol=0.03)
 
 
+def test_repetition_alone_rejects(spark):
+    """Repeated words and repeated lines below the base rules, in a group that has neither."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(100, 300))]
+        text = "\n".join(" ".join(words[k:k + 5]) for k in range(0, len(words), 5))
+        if i % 100 == 0:  # 48 % of the words repeat
+            text += "\n" + " ".join(words[:len(words) // 3])
+        elif i % 100 == 1:  # lines of one word repeat: no window of three words does
+            text += "".join(f"\nyes\n{w}" for w in rng.sample(vocabulary, len(words) // 4))
+        rows.append((i, text, "en", "s", 0, "", 0, 0))
+    out = quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert not any(r.base_failed for r in out)
+    assert {r.id for r in out if not r.kept} == {i for i in range(400) if i % 100 < 2}
+
+
+def _mcd_brute(x, floors, rng):
+    """Least determinant of many random starts, with the same floors and consistency factor, then reweighted."""
+    def fit(rows, factor):
+        c = factor * np.cov(rows.T, bias=True)
+        np.fill_diagonal(c, np.maximum(np.diag(c), floors ** 2))
+        return rows.mean(0), c
+
+    def far(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    best = None
+    for _ in range(200):
+        m, c = fit(x[rng.choice(len(x), 6, replace=False)], 1.0)
+        for _ in range(30):
+            d = far(m, c)
+            m, c = fit(x[np.argsort(d)[:len(x) // 2]], quality.HALF_CONSISTENCY)
+        if best is None or np.linalg.det(c) < np.linalg.det(best[1]):
+            best = m, c
+    return far(*fit(x[far(*best) <= quality.WEIGHED_IN], 1.0))
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    mix = np.array([[300, 0, 0, 0], [120, 250, 0, 0], [60, 40, 200, 0], [0, 0, 0, 150.0]])
+    x = rng.normal(size=(600, 4)) @ mix.T + [2000, 2500, 3000, 2500]
+    x[:150] = rng.normal(size=(150, 4)) * 60 + [3500, 1000, 5500, 4000]  # a tight group of outliers
+    x = np.clip(x, 0, quality.GRID).round()
+    rows = spark.createDataFrame(
+        [(i, "g", *map(int, r)) for i, r in enumerate(x)], "id long, grp string, x0 long, x1 long, x2 long, x3 long")
+    got = {r.id: r.d for r in quality._distance(rows, quality.estimates(rows), "d").collect()}
+    want = _mcd_brute(x, np.array(quality.FLOORS), rng)
+    assert {i for i, d in got.items() if d > quality.CUTOFF} == set(np.flatnonzero(want > quality.CUTOFF))
+    assert np.allclose([got[i] for i in range(600)], want, rtol=0.15)
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
     for n in (1, 2, 7, 100, 1023):
