@@ -68,7 +68,10 @@ def _cells(rows: DataFrame, pivots: np.ndarray, most: float, queries: bool) -> D
 
 
 def top_k(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (id, v) tables of whole-number vectors of one width.
+    """(query_id, rank, vec_id, score) from (id, v) tables of whole-number vectors.
+
+    Rows of another width than most data rows have take no part (of two equally frequent widths the
+    greater counts), and empty vectors do not either.
 
     The k best inner products of every query over all data rows of another id, ties to the smaller id;
     all rows if there are fewer. Equal vectors under different ids all count. A repeated (id, v) row counts
@@ -76,13 +79,13 @@ def top_k(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     spark = data.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
-    shape = data.agg(F.max(F.size("v")), F.min(F.size("v")),
-                     F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    if shape[0] is None or shape[0] == 0:
+    shape = data.filter(F.size("v") > 0).groupBy(F.size("v").alias("width")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most")
+    ).orderBy(F.desc("n"), F.desc("width")).first()
+    if shape is None:
         return spark.createDataFrame([], schema)
-    if shape[0] != shape[1]:
-        raise ValueError("vectors differ in width")
-    width, most = shape[0], float(shape[2])
+    width, most = shape["width"], float(shape["most"])
+    data, queries = data.filter(F.size("v") == width), queries.filter(F.size("v") == width)
     # the pivots: PIVOTS distinct vectors with the least digests
     sample = (data.select("v").withColumn("_h", F.xxhash64("v")).groupBy("_h").agg(F.first("v").alias("v"))
               .orderBy("_h").limit(PIVOTS).collect())
@@ -109,9 +112,11 @@ def top_k(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 break
         for c, _, r in cells:
             if gap[g, c] - radius - r <= reach * (1 + SLACK) + SLACK:
-                plan += [(g, q, c, b) for q in range(parts) for b in range(blocks[c])]
-    # at most PIVOTS^2 pairs of cells, times blocks
-    pairs = spark.createDataFrame(plan, "grp int, part int, cell int, block int")
+                plan.append((g, parts, c, blocks[c]))
+    # at most PIVOTS^2 pairs of cells come from the driver; their parts and blocks are written out on Spark
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = spark.createDataFrame(plan, "grp int, parts int, cell int, blocks int").select(
+        "grp", upto("parts").alias("part"), "cell", "blocks").select("grp", "part", "cell", upto("blocks").alias("block"))
     n_blocks = F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)])
     n_parts = F.create_map(*[F.lit(x) for g, (_, n) in groups.items() for x in (g, n)]) if groups else None
     if n_parts is None:

@@ -37,6 +37,23 @@ def test_top_k(spark):
     assert knn.top_k(data.filter("id < 0"), data, 5).count() == 0
 
 
+def test_top_k_of_mixed_widths_and_many_blocks(spark, monkeypatch):
+    """Vectors of a rarer width take no part; small blocks and parts leave the result as it is."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4)).round(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(i, v) for i, v in zip(range(300, 320), [[], [1.0], [9.0] * 5, [9.0] * 3] * 5)]
+    data = knn.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 2)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn.top_k(data, data.filter("id % 20 = 0"), 3).collect()}
+    v = np.floor(256 * x).astype(int)
+    want = {}
+    for q in range(0, 300, 20):
+        order = sorted((i for i in range(300) if i != q), key=lambda i: (-(v[q] @ v[i]), i))[:3]
+        want |= {(q, k + 1): (i, v[q] @ v[i]) for k, i in enumerate(order)}
+    assert got == want
+
+
 def reference(u):
     """Host, path and rule of a URL, read off the text."""
     if u is None or "://" not in u:
