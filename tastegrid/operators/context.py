@@ -89,6 +89,43 @@ def few_shot(
     ).alias("prompt"))
 
 
+def zero_shot_for(targets: DataFrame, columns: list[str], roles: Roles = DEFAULT) -> DataFrame:
+    """The zero-shot prompt of given rows."""
+    target = X.within_budget(X.labelled_text(columns, " | "))
+    return targets.select(*_output(roles), fill(ZERO_SHOT_TEMPLATE, target).alias("prompt"))
+
+
+def history_without_target(
+    targets: DataFrame, ratings: DataFrame, roles: Roles = DEFAULT, k: int = MAIN_USER_RATINGS, seed: int = SEED,
+) -> DataFrame:
+    """(user, target, rn, the columns of ``ratings``): k rows of each target's user in digest order, never
+    the target itself. ``ratings`` has one row per (user, item).
+
+    k + 1 rows of a user leave k for each target, so a user with many ratings and many
+    targets costs (k + 1) rows a target.
+    """
+    user, item = roles.user, roles.item
+    own = ratings.join(targets.select(user).distinct(), user, "left_semi")
+    first = top_k(own.withColumn("_h", md5_key(*roles.key, seed=seed)), [user], [F.col("_h")], k + 1, "_rn")
+    rows = targets.select(user, F.col(item).alias("target")).distinct().join(first, user).filter(F.col(item) != F.col("target"))
+    return top_k(rows, [user, "target"], [F.col("_rn")], k).drop("_h", "_rn")
+
+
+def few_shot_for(
+    targets: DataFrame, ratings: DataFrame, columns: list[str], roles: Roles = DEFAULT,
+    k: int = MAIN_USER_RATINGS, seed: int = SEED,
+) -> DataFrame:
+    """The few-shot prompt of given rows. A user without other ratings has an empty history."""
+    past = bullets(
+        history_without_target(targets, ratings, roles, k, seed), [roles.user, "target"], ["rn"],
+        history_line(columns, roles.rating), "_history",
+    ).withColumnRenamed("target", roles.item)
+    target = X.within_budget(X.labelled_text(columns))
+    return targets.join(past, [roles.user, roles.item], "left").select(*_output(roles), F.concat(
+        F.lit(HISTORY_HEADER), X.within_budget(F.coalesce("_history", F.lit(""))), fill(FEW_SHOT_TEMPLATE, target),
+    ).alias("prompt"))
+
+
 def cf_prompt(history: Column, similar: Column, title: Column) -> Column:
     target = X.within_budget(F.concat(F.lit("Title: "), X.shown(title)))
     return F.concat(
@@ -103,16 +140,18 @@ def collaborative(
 ) -> DataFrame:
     """Targets with their own history and their neighbours' ratings as one prompt.
 
-    ``history`` has the user's rows with ``rn``; ``similar`` has neighbour rows with
+    ``history`` has the user's rows with ``rn``, for each ``target`` if it has such a column; ``similar`` has neighbour rows with
     ``rn`` (neighbour) and ``rank`` (rating), keyed by ``similar_keys``.
     """
     line = title_line(F.col(roles.title), F.col(roles.rating))
-    own = bullets(history, [roles.user], ["rn"], line, "_history")
+    own_keys = [roles.user] + [c for c in ("target",) if c in history.columns]
+    own = bullets(history, own_keys, ["rn"], line, "_history").withColumnRenamed("target", roles.item)
+    own_keys = [roles.item if k == "target" else k for k in own_keys]
     others = bullets(similar, similar_keys, ["rn", "rank"], line, "_similar")
     if "target" in similar_keys:
         others = others.withColumnRenamed("target", roles.item)
     keys = [roles.item if k == "target" else k for k in similar_keys]
-    joined = targets.join(own, roles.user, "left").join(others, keys, "left")
+    joined = targets.join(own, own_keys, "left").join(others, keys, "left")
     blank = F.lit("")
     return joined.select(*_output(roles), cf_prompt(
         F.coalesce("_history", blank), F.coalesce("_similar", blank), F.col(roles.title)

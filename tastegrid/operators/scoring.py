@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tastegrid.functions.parsing import failed
+from tastegrid.session import stage
 
 BATCH = 100
 
@@ -48,3 +49,22 @@ def repair(
         "repaired": is_failed & F.col("_new").isNotNull(),
         predicted: F.when(is_failed, F.coalesce("_new", predicted)).otherwise(F.col(predicted)),
     }).drop("_new")
+
+
+def repair_in_context(
+    predictions: DataFrame, rebuild: Callable[[DataFrame], DataFrame], fn: Callable[[list], Iterable],
+    keys: list[str], predicted: str = "predicted_rating", batch: int = BATCH,
+) -> DataFrame:
+    """Score the failed rows again from prompts built anew, and overwrite them alone.
+
+    ``rebuild`` gets the failed rows, once per key, and returns ``keys`` with ``prompt``; distinct prompts
+    go through ``fn`` in batches. The result has ``prompt`` (null where nothing failed) and
+    ``repaired``; a row whose new score is null or failed again keeps its old text.
+    """
+    targets = stage(failed_rows(predictions, predicted).dropDuplicates(keys), "failed")
+    prompts = stage(rebuild(targets).select(*keys, "prompt"), "prompts")
+    scored = score_batches(prompts, fn, "prompt", predicted, "string", batch)
+    usable = scored.withColumn(predicted, F.when(~failed(F.col(predicted)), F.col(predicted)))
+    shown = prompts.withColumnRenamed("prompt", "_prompt")
+    out = repair(predictions, usable, keys, predicted).join(shown, keys, "left")
+    return out.withColumnRenamed("_prompt", "prompt")

@@ -312,6 +312,94 @@ def repair_failed(spark, d):
         "user_id", "item_id", "predicted_rating", "repaired")
 
 
+def answers(prompts):
+    """A pure function in the place of a model: some prompts fail again."""
+    return ["" if len(p) % 11 == 0 else str(1.0 + len(p) % 5) for p in prompts]
+
+
+def _repair_sql(prompts: str) -> str:
+    """Results of a repair from the CTEs ``scored`` and ``bad``, and a query of (user_id, item_id, prompt)."""
+    return f"""prompts AS ({prompts}),
+again AS (SELECT *, CASE WHEN length(prompt) % 11 <> 0 THEN CAST(CAST(1 + length(prompt) % 5 AS DOUBLE) AS VARCHAR) END AS fresh FROM prompts)
+SELECT user_id, item_id, coalesce(fresh, predicted_rating) AS predicted_rating, fresh IS NOT NULL AS repaired, prompt
+FROM scored LEFT JOIN again USING (user_id, item_id)"""
+
+
+def _repaired(test, rebuild):
+    return B.repair_in_context(T.scored_text(test), rebuild, answers, ["user_id", "item_id"]).select(
+        "user_id", "item_id", "predicted_rating", "repaired", "prompt")
+
+
+SCORED_TEST = """scored AS (SELECT user_id, item_id, title, rating, CASE user_id % 7 WHEN 0 THEN '(None, ''Error'')' WHEN 1 THEN ''
+    ELSE CAST(CAST(1 + (user_id + item_id) % 5 AS DOUBLE) AS VARCHAR) END AS predicted_rating FROM test),
+bad AS (SELECT * FROM scored WHERE user_id % 7 < 2)"""
+# four other ratings of each failed row's user, from all of the user's ratings
+OTHER_FOUR = f"""four AS (SELECT * FROM (SELECT bad.item_id AS target, t.*, row_number() OVER (
+    PARTITION BY t.user_id, bad.item_id ORDER BY {UI.replace('user_id', 't.user_id').replace('item_id', 't.item_id')}) AS k
+  FROM bad JOIN titled t ON t.user_id = bad.user_id AND t.item_id <> bad.item_id) WHERE k <= 4)"""
+
+
+@query(f"""WITH {SEQ}, {SCORED_TEST}, {_repair_sql(f"SELECT user_id, item_id, {filled(C.ZERO_SHOT_TEMPLATE, quoted('title: ') + ' || title')} AS prompt FROM bad")}""")
+def repair_zero_shot(spark, d):
+    """Failed rows of a time split are described and scored again."""
+    return _repaired(side(sequential(spark, d), "test"), lambda bad: X.zero_shot_for(bad, ["title"]))
+
+
+@query(f"""WITH {SEQ}, {SCORED_TEST}, {OTHER_FOUR},
+past AS (SELECT user_id, target, string_agg('* title: ' || title || ' - Rating: ' || rating || ' stars', chr(10) ORDER BY k) AS history
+  FROM four GROUP BY 1, 2), {_repair_sql(f"""SELECT bad.user_id, item_id, {quoted(C.HISTORY_HEADER)} || coalesce(history, '') ||
+  {filled(C.FEW_SHOT_TEMPLATE, "'title: ' || title")} AS prompt FROM bad LEFT JOIN past ON past.user_id = bad.user_id AND target = item_id""")}""")
+def repair_few_shot(spark, d):
+    """Failed rows get a history of the user's other ratings, without the row itself."""
+    split = sequential(spark, d)
+    return _repaired(side(split, "test"), lambda bad: X.few_shot_for(bad, split.drop("split"), ["title"]))
+
+
+_OTHERS_PAST = """past AS (SELECT user_id, target, string_agg('* Title: ' || title || ', Rating: ' || rating || ' stars', chr(10) ORDER BY k) AS history
+  FROM four GROUP BY 1, 2)"""
+_CF_PROMPT = _cf_sql("coalesce(history, '')", "coalesce(peers, '')")
+
+
+@query(f"""WITH {SEQ}, {weighted_neighbors('user', 4)}, {SCORED_TEST}, {OTHER_FOUR}, {_OTHERS_PAST},
+lists AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {UI}) AS rank FROM train),
+others AS (SELECT a AS user_id, string_agg('* Title: ' || title || ', Rating: ' || rating || ' stars', chr(10) ORDER BY user_nb.rn, rank) AS peers
+  FROM user_nb JOIN lists ON lists.user_id = b AND rank <= 1 GROUP BY 1), {_repair_sql(f"""SELECT t.user_id, t.item_id, {_CF_PROMPT} AS prompt
+  FROM bad t LEFT JOIN past ON past.user_id = t.user_id AND target = t.item_id LEFT JOIN others ON others.user_id = t.user_id""")}""")
+def repair_cf(spark, d):
+    """Failed rows get their user's other ratings and one random rating of each neighbour."""
+    split = sequential(spark, d)
+    train, everything = side(split, "train"), split.drop("split")
+
+    def rebuild(bad):
+        near = user_neighbors(train, C.SIMILAR_USERS).join(bad.select(F.col("user_id").alias("a")).distinct(), "a", "left_semi")
+        similar = N.neighbor_ratings(near, train, C.RATINGS_PER_NEIGHBOR, "random")
+        return X.collaborative(bad, X.history_without_target(bad, everything), similar, ["user_id"])
+
+    return _repaired(side(split, "test"), rebuild)
+
+
+@query(f"""WITH {SEQ}, {weighted_neighbors('user', 4)}, {item_edges()}, {SCORED_TEST}, {OTHER_FOUR}, {_OTHERS_PAST},
+{BY_ITEM.replace('rank <= 2', 'rank <= 1').replace('FROM test t', 'FROM bad t')},
+others AS (SELECT user_id, target, string_agg('* Title: ' || p_name || ', Rating: ' || rating || ' stars', chr(10) ORDER BY rn, rank) AS peers
+  FROM chosen JOIN part ON p_partkey = item_id GROUP BY 1, 2), {_repair_sql(f"""SELECT t.user_id, t.item_id, {_CF_PROMPT} AS prompt
+  FROM bad t LEFT JOIN past ON past.user_id = t.user_id AND past.target = t.item_id
+  LEFT JOIN others ON others.user_id = t.user_id AND others.target = t.item_id""")}""")
+def repair_cf_item(spark, d):
+    """Failed rows get their user's other ratings and each neighbour's rating closest to the item."""
+    split = sequential(spark, d)
+    train, everything = side(split, "train"), split.drop("split")
+
+    def rebuild(bad):
+        near = user_neighbors(train, C.SIMILAR_USERS).join(bad.select(F.col("user_id").alias("a")).distinct(), "a", "left_semi")
+        similar = N.neighbor_ratings_by_item(
+            bad, near, S.weighted_pearson(train, axis="item"), train, n=C.RATINGS_PER_NEIGHBOR)
+        titles = T.items(spark, d).select("item_id", "title")
+        return X.collaborative(
+            bad, X.history_without_target(bad, everything), similar.join(titles, "item_id"), ["user_id", "target"])
+
+    return _repaired(side(split, "test"), rebuild)
+
+
 @query(f"""SELECT event_id, {r6('1 / (1 + exp(-x))')} AS probability,
   {r6('ln(1 + exp(-abs(x))) + greatest(x, 0) - y * x')} AS loss
 FROM (SELECT event_id, (value - 50) / 10 AS x, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y FROM events)""")

@@ -304,3 +304,39 @@ def test_poisson_draws(spark, mean):
     if mean == 1:
         for k in range(4):
             assert abs(np.mean(np.array(m) == k) - math.exp(-1) / math.factorial(k)) < 0.015
+
+
+def test_histories_leave_the_target_out(spark):
+    """A user with many ratings and targets keeps k others for each; one without others has an empty history."""
+    from tastegrid.functions.hashing import md5_key
+
+    ratings = spark.createDataFrame(
+        [(1, i, float(i % 5 + 1), f"t{i}") for i in range(40)] + [(2, 7, 3.0, "t7")],
+        "user_id int, item_id int, rating double, title string")
+    targets = ratings.filter("item_id < 20")
+    rows = X.history_without_target(targets, ratings, k=4).collect()
+    of = {}
+    for r in rows:
+        assert r.item_id != r.target
+        of.setdefault((r.user_id, r.target), []).append((r.rn, r.item_id))
+    assert set(of) == {(1, i) for i in range(20)} and all(sorted(n for n, _ in v) == [1, 2, 3, 4] for v in of.values())
+    order = [r.item_id for r in ratings.filter("user_id = 1").orderBy(md5_key("user_id", "item_id")).collect()]
+    assert all([i for _, i in sorted(v)] == [i for i in order if i != t][:4] for (_, t), v in of.items())
+    prompts = {(r.user_id, r.item_id): r.prompt for r in X.few_shot_for(targets, ratings, ["title"], k=4).collect()}
+    assert len(prompts) == 21 and "* title" not in prompts[2, 7] and prompts[1, 0].count("* title") == 4
+
+
+def test_repair_in_context(spark):
+    """Only failed rows are scored and get a prompt; a new failure keeps the old text."""
+    from tastegrid.operators import scoring as B
+
+    rows = spark.createDataFrame([(1, "4.0"), (2, ""), (3, None), (4, "(None, 'Error')"), (4, "(None, 'Error')"), (5, "x")],
+                                 "id int, predicted_rating string")
+    def fn(prompts):
+        return [{"p2": "5.0", "p3": "", "p4": "1.0"}.get(p) for p in prompts]
+
+    out = B.repair_in_context(rows, lambda bad: bad.selectExpr("id", "'p' || id AS prompt"), fn, ["id"])
+    got = sorted((r.id, r.predicted_rating, r.repaired, r.prompt) for r in out.collect() if r.id != 3)
+    assert got[0] == (1, "4.0", False, None) and got[1] == (2, "5.0", True, "p2")
+    assert got[2:4] == [(4, "1.0", True, "p4")] * 2 and got[4][1:3] == ("x", False)
+    assert [(r.predicted_rating, r.repaired) for r in out.collect() if r.id == 3] == [(None, False)]
