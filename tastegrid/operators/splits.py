@@ -236,3 +236,37 @@ def negative_samples(
         roles.user, F.col(roles.item).alias("pos_item"), F.lit(0).alias("draw"),
         roles.item, F.lit(1).alias("label"),
     ).unionByName(negatives)
+
+
+def split_by_popularity(
+    df: DataFrame,
+    how: str = "random",
+    which: str = "both",
+    measure: str = "count",
+    roles: Roles = DEFAULT,
+    required: tuple[str, ...] = (),
+    share: float = POPULAR_SHARE,
+    test_ratio: float = TEST_RATIO,
+    seed: int = SEED,
+    cell_rows: int = R.CELL_ROWS,
+) -> DataFrame:
+    """A split of the whole table whose test rows are of popular items, unpopular ones or both.
+
+    Rows without an item, a rating or a value of the ``required`` columns go first, so they count neither
+    for popularity nor for the split. ``how`` is ``random`` or ``sequential``, ``measure`` is ``count`` or
+    ``blended`` (half number of ratings, half mean rating).
+    """
+    rows = df.dropna(subset=[roles.item, roles.rating, *required])
+    if measure == "count":
+        popular = popular_items(rows, roles, share, seed, cell_rows)
+    elif measure == "blended":
+        _, popular = popular_items_blended(rows, roles, share, seed, cell_rows)
+    else:
+        raise ValueError(f"unknown popularity measure: {measure}")
+    if how == "random":
+        split = split_global_exact(rows, roles, test_ratio, seed, cell_rows)
+    elif how == "sequential":
+        split = split_global_sequential(rows, roles, test_ratio, seed, cell_rows)
+    else:
+        raise ValueError(f"unknown kind of split: {how}")
+    return restrict_by_popularity(split, popular, roles, which)

@@ -14,6 +14,7 @@ from tastegrid.plans.base import (
     DRAWN, LOO, SEQ, TITLED, UI, USER_NEIGHBORS, item_edges, item_neighbors, neighbors_by, neighbors_cte, r6, ratings, sequential, side,
     titled, user_neighbors, weighted_neighbors,
 )
+from tastegrid.plans.cleaning import POPULAR
 from tastegrid.plans.profiling import event_vectors
 from tastegrid.plans.similarities import BY_ITEM, HISTORY_SIM, ITEM_VECS, item_vectors
 from tastegrid.session import stage
@@ -238,18 +239,18 @@ def ctx_cf_semantic(spark, d):
     return cf_random(spark, d).join(close, ["user_id", "item_id"], "left")
 
 
-@query(f"""WITH {SEQ}, {weighted_neighbors('user', 4)}, {item_edges()}, {BY_ITEM.replace('rank <= 2', 'rank <= 1')},
+CF_ITEM = f"""{weighted_neighbors('user', 4)}, {item_edges()}, {BY_ITEM.replace('rank <= 2', 'rank <= 1')},
 mine AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {UI}) AS k FROM train),
 own AS (SELECT user_id, string_agg('* Title: ' || title || ', Rating: ' || rating || ' stars', chr(10) ORDER BY k) AS history
   FROM mine WHERE k <= 4 GROUP BY 1),
 others AS (SELECT user_id, target, string_agg('* Title: ' || p_name || ', Rating: ' || rating || ' stars', chr(10) ORDER BY rn, rank) AS peers
   FROM chosen JOIN part ON p_partkey = item_id GROUP BY 1, 2)
 SELECT t.user_id, t.item_id, t.title, t.rating AS actual_rating, {_cf_sql("coalesce(history, '')", "coalesce(peers, '')")} AS prompt
-FROM test t LEFT JOIN own ON own.user_id = t.user_id LEFT JOIN others ON others.user_id = t.user_id AND others.target = t.item_id""")
-def ctx_cf_item(spark, d):
-    """Every test row of a time split, with its neighbours' ratings closest to the target."""
-    split = sequential(spark, d)
-    train, test = side(split, "train"), side(split, "test")
+FROM test t LEFT JOIN own ON own.user_id = t.user_id LEFT JOIN others ON others.user_id = t.user_id AND others.target = t.item_id"""
+
+
+def cf_item(spark, d, train, test):
+    """Every test row with its neighbours' ratings closest to the target, learned on train."""
     history = P.history(train, k=C.MAIN_USER_RATINGS, complete=False)
     similar = N.neighbor_ratings_by_item(
         test, user_neighbors(train, C.SIMILAR_USERS), S.weighted_pearson(train, axis="item"), train,
@@ -258,6 +259,29 @@ def ctx_cf_item(spark, d):
     return X.collaborative(test, history, similar.join(titles, "item_id"), ["user_id", "target"])
 
 
+@query(f"WITH {SEQ}, {CF_ITEM}")
+def ctx_cf_item(spark, d):
+    """Item-aware context for a time split."""
+    split = sequential(spark, d)
+    return cf_item(spark, d, side(split, "train"), side(split, "test"))
+
+
+@query(f"WITH {LOO}, {CF_ITEM}")
+def ctx_cf_item_random(spark, d):
+    """Item-aware context for one random row of each user."""
+    return cf_item(spark, d, *leave_one_out(spark, d))
+
+
+@query(f"""WITH {TITLED}, {POPULAR}, marked AS (SELECT *, row_number() OVER (ORDER BY {UI})
+  <= ceil(count(*) OVER () * CAST(0.2 AS DOUBLE)) AS is_test FROM titled),
+train AS (SELECT user_id, item_id, rating, ts, title FROM marked WHERE NOT is_test),
+test AS (SELECT user_id, item_id, rating, ts, title FROM marked WHERE is_test AND item_id IN (SELECT item_id FROM pop)), {CF_ITEM}""")
+def ctx_cf_item_popular(spark, d):
+    """Item-aware context for random rows of popular items."""
+    split = stage(P.split_by_popularity(titled(spark, d), "random", "popular", required=("title",)), "pop-split")
+    return cf_item(spark, d, side(split, "train"), side(split, "test"))
+
+
 GROUPED = f"""{weighted_neighbors('user', 4)},
 lists AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS rank FROM train)"""
 

@@ -261,6 +261,43 @@ def split_pop_sequential(spark, d):
         "user_id", "item_id", "split")
 
 
+BLENDED_TOP = f"""{BLENDED},
+pop AS (SELECT item_id FROM (SELECT *, row_number() OVER (ORDER BY score DESC, {digest('item_id')}) AS rn,
+  count(*) OVER () AS n_items FROM bl) WHERE rn <= floor(n_items * 0.2))"""
+
+
+def _pop_split(spark, d, how, which, measure="count"):
+    return P.split_by_popularity(ratings(spark, d), how, which, measure).select("user_id", "item_id", "split")
+
+
+@query(f"""WITH {RATINGS}, {POPULAR}, {EXACT} SELECT user_id, item_id, split FROM ex
+WHERE split = 'train' OR item_id NOT IN (SELECT item_id FROM pop)""")
+def split_pop_random_unpopular(spark, d):
+    return _pop_split(spark, d, "random", "unpopular")
+
+
+@query(f"WITH {RATINGS}, {EXACT} SELECT user_id, item_id, split FROM ex")
+def split_pop_random_both(spark, d):
+    return _pop_split(spark, d, "random", "both")
+
+
+@query(f"""WITH {RATINGS}, {POPULAR}, {GLOBAL_SEQ} SELECT user_id, item_id, split FROM gs
+WHERE split = 'train' OR item_id IN (SELECT item_id FROM pop)""")
+def split_pop_sequential_popular(spark, d):
+    return _pop_split(spark, d, "sequential", "popular")
+
+
+@query(f"WITH {RATINGS}, {GLOBAL_SEQ} SELECT user_id, item_id, split FROM gs")
+def split_pop_sequential_both(spark, d):
+    return _pop_split(spark, d, "sequential", "both")
+
+
+@query(f"""WITH {RATINGS}, {BLENDED_TOP}, {EXACT} SELECT user_id, item_id, split FROM ex
+WHERE split = 'train' OR item_id IN (SELECT item_id FROM pop)""")
+def split_pop_blended(spark, d):
+    return _pop_split(spark, d, "random", "popular", "blended")
+
+
 @query(f"""WITH {DRAWN} SELECT user_id, item_id, title, rating, CAST(rn AS INTEGER) AS rn FROM drawn WHERE rn <= 4 AND n_rows >= 4""")
 def fewshot_history(spark, d):
     return P.history(T.titled_ratings(spark, d)).select("user_id", "item_id", "title", "rating", "rn")

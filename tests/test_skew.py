@@ -322,3 +322,23 @@ def test_profiles_of_several_attributes(spark):
 def test_unsupported_metric(points):
     with pytest.raises(ValueError):
         VS.latent_similarity(points[0], "vec_id", "vector", "euclid", 0.5)
+
+
+def test_popularity_split_types(spark):
+    """Popular and unpopular test rows add up to both; rows with nulls count nowhere."""
+    rows = [(u, i, float(1 + (u + i) % 5), dt.datetime(2020, 1, 1) + dt.timedelta(hours=u * 7 + i), f"t{i}")
+            for u in range(40) for i in range(20) if i < 4 or (u + i) % 3 == 0]
+    bad = [(100 + u, 19, None, dt.datetime(2020, 1, 1), "t19") for u in range(200)]
+    bad += [(400 + u, 18, 3.0, dt.datetime(2020, 1, 1), None) for u in range(200)]
+    df = spark.createDataFrame(rows + bad, "user_id int, item_id int, rating double, ts timestamp, title string")
+    for how in ("random", "sequential"):
+        for measure in ("count", "blended"):
+            def split(which):
+                out = P.split_by_popularity(df, how, which, measure, required=("title",))
+                got = [(r.user_id, r.item_id, r.split) for r in out.collect()]
+                assert all(u < 100 for u, _, _ in got) and len(got) == len(set(got))
+                return {x for x in got if x[2] == "test"}, {x for x in got if x[2] == "train"}
+            (both, train), (pop, t1), (rare, t2) = split("both"), split("popular"), split("unpopular")
+            assert train == t1 == t2 and len(train) + len(both) == len(rows)
+            assert pop | rare == both and not pop & rare and pop
+            assert not {i for _, i, _ in pop} & {i for _, i, _ in rare} and {i for _, i, _ in pop} <= set(range(4))
