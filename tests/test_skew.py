@@ -191,6 +191,22 @@ def test_percentile_rank_with_heavy_ties(spark):
         assert got[i] == pytest.approx((below + (same + 1) / 2) / len(values), abs=1e-6)
 
 
+def test_percentile_rank_is_of_the_affinity(spark, tmp_path):
+    """The query ranks each event by the affinity of its user and type, not by a column of the table."""
+    vectors = [(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 1.0])]
+    spark.createDataFrame([(i, v, 0) for i, v in vectors], ["vec_id", "embedding", "label"]).write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    events = [(0, 1, "a", 9.0), (3, 2, "a", 1.0), (1, 3, "a", 5.0), (2, 4, "a", 7.0)]
+    spark.createDataFrame(events, ["event_id", "user_id", "event_type", "value"]).write.parquet(f"{tmp_path}/events.parquet")
+    from tastegrid.plans import QUERIES
+    mean = np.mean([vectors[e % 3][1] for e, *_ in events], axis=0)
+    want = {e: round(float(mean @ vectors[e % 3][1] / np.linalg.norm(mean)), 4) for e, *_ in events}
+    got = {r["event_id"]: (r["affinity"], r["pct_rank"]) for r in QUERIES["pct_rank"](spark, str(tmp_path)).collect()}
+    assert {e: a for e, (a, _) in got.items()} == want
+    assert {e: p for e, (_, p) in got.items()} == {
+        e: (sum(o < a for o in want.values()) + (list(want.values()).count(a) + 1) / 2) / 4 for e, a in want.items()}
+
+
 def test_repartitioning_changes_nothing(skewed):
     for run in (
         lambda df: S.top_neighbors(S.pearson(df), 3),
