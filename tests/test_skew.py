@@ -64,6 +64,19 @@ def test_hot_feature_becomes_bounded_blocks(spark):
     assert got["n"] == got["d"] == got["ordered"] == 2000 * 1999 // 2
 
 
+def test_lists_of_a_pair_meet_in_one_cell(skewed):
+    """Pairs are counted from lists of partners: no row per pair is shuffled, a heavy key is dealt into parts."""
+    rows = rows_of(skewed)
+    lists = pairs.partner_lists(rows, ["x"], 16)
+    assert lists.count() <= 10 * rows.count() < lists.select(F.sum(F.size("others"))).first()[0]
+    cut = pairs.cells(rows, ["x"], 16, task_pairs=50)
+    assert cut.select("cell").distinct().count() > 5 and cut.filter("part > 0").count() > 0
+    met = cut.select("cell", "part", "a", F.explode("b").alias("b"))
+    assert met.groupBy("a", "b").agg(F.count_distinct("cell", "part").alias("n")).filter("n > 1").count() == 0
+    want = pairs.block_pairs(rows, ["x"], 10**9).groupBy("l.key", "r.key").count()
+    assert met.groupBy("a", "b").count().exceptAll(want).count() == 0 and met.count() == want.agg(F.sum("count")).first()[0]
+
+
 @pytest.fixture(scope="module")
 def zipf(spark):
     """300 keys over 200 features of very different popularity."""
@@ -119,6 +132,14 @@ def test_top_weighted_equals_the_edge_list(skewed, axis, least):
         assert got.columns == want.columns and edges(got) == edges(want)
 
 
+def test_top_weighted_by_lists_and_blocks(skewed):
+    for way in (True, False):
+        got = K.top_weighted_pearson(skewed, 2, min_sim=0.0, block_keys=7, list_pairs=way)
+        assert edges(got) == edges(S.top_neighbors(S.weighted_pearson(skewed), 2, 0.0))
+    # every key alone in its block: blocks would get each feature's rows once per key
+    assert "FlatMapCoGroups" not in K.top_weighted_pearson(skewed, 2, block_keys=1)._jdf.queryExecution().toString()
+
+
 def test_top_weighted_visits_few_pairs():
     """Pairs whose overlap cannot beat the k-th best found are not worked out."""
     rng = np.random.default_rng(2)
