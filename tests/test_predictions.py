@@ -84,6 +84,18 @@ def test_ratings_nearest_to_the_target(rated):
             assert got[(t["user_id"], t["item_id"], v)] == [i for i, _ in order[:2]]
 
 
+def test_similar_items_as_lists_and_by_pair(rated):
+    """Few similar items are joined as a list, many looked up by pair, with the same rows."""
+    train, test = rated
+    users = S.top_neighbors(S.weighted_pearson(train), 3, min_sim=0.0)
+    items = S.weighted_pearson(train, axis="item").localCheckpoint()
+    users = users.localCheckpoint()
+    by_pair, mixed, by_list = (
+        sorted(map(str, N.neighbor_ratings_by_item(test, users, items, train, n=2, listed=limit).collect()))
+        for limit in (0, 14, 10**6))
+    assert by_pair == mixed == by_list and by_pair
+
+
 def test_recommendations_are_new_items(rated):
     train, _ = rated
     neighbors = S.top_neighbors(S.weighted_pearson(train), 5, min_sim=0.0)
