@@ -227,6 +227,28 @@ def test_two_branch_network(liked):
     assert model.losses[-1] < model.losses[0]
 
 
+def test_ratings_travel_in_chunks(spark):
+    """A pair of blocks is many packed rows of bounded size, in the order that one row had, and blocks grow with the rows."""
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(rng.randrange(40), rng.randrange(30), rng.randrange(2)) for _ in range(3000)],
+                                 "user_id int, item_id int, label int")
+    sides = [BT._numbered(rows, k, 2, 1) for k in ("user_id", "item_id")]
+    packed = BT._packed_ratings(rows, *sides, BT.DEFAULT, "label", 2, chunk=256).collect()
+    assert max(len(r.y) for r in packed) == 256 * 8 and len(packed) > 8
+    cells = defaultdict(list)
+    for r in sorted(packed, key=lambda r: (r.ub, r.ib, r.seq)):
+        assert r.shift == (r.ib - r.ub) % 2
+        u, i = (np.frombuffer(x, np.int32).tolist() for x in (r.u, r.i))
+        cells[r.ub, r.ib] += list(zip(u, i, np.frombuffer(r.y, float).tolist()))
+    assert sum(map(len, cells.values())) == 3000
+    for cell in cells.values():
+        assert cell == sorted(cell, key=lambda x: ((x[0] * 2654435761 + x[1] * 40503) % 1000003, *x))
+    assert BT.block_count(3_000_000, 15_000, 20_000) == 4
+    for n in (10**8, 10**9):
+        assert n / BT.block_count(n, 10**6, 10**6) ** 2 <= BT.CELL_RATINGS
+    assert 10**7 / BT.block_count(10**7, 10**7, 10) <= BT.BLOCK_KEYS
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(1)
     rank, tower = 3, (5, 4)
