@@ -379,3 +379,37 @@ def test_popularity_split_types(spark):
             assert train == t1 == t2 and len(train) + len(both) == len(rows)
             assert pop | rare == both and not pop & rare and pop
             assert not {i for _, i, _ in pop} & {i for _, i, _ in rare} and {i for _, i, _ in pop} <= set(range(4))
+
+
+def test_nearest_of_a_block_by_tiles(monkeypatch):
+    """Tiles and bounds leave the k best by rounded cosine, ties by id, as a full sort does."""
+    monkeypatch.setattr(VS, "TILE", (7, 11))
+    rng = np.random.default_rng(4)
+    m = np.round(rng.standard_normal((60, 3)), 1) + 0.01
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = rng.permutation(60)
+    sims = np.floor(m @ m.T * 1e6 + 0.5) / 1e6
+    want = {(int(ids[i]), int(ids[j])) for i in range(60)
+            for j in sorted((j for j in range(60) if j != i and sims[i, j] >= 0.2), key=lambda j: (-sims[i, j], ids[j]))[:4]}
+    got = VS._nearest(ids, m, ids, m, 4, 0.2)
+    assert set(zip(got[0].tolist(), got[1].tolist())) == want and len(got[0]) == len(want)
+    kth = np.sort(np.where(np.eye(60, dtype=bool), -2, sims), axis=1)[:, -4]
+    assert set(zip(*(x.tolist() for x in VS._nearest(ids, m, ids, m, 4, 0.2, kth)[:2]))) <= want
+
+
+def test_lsh_blocks_change_nothing(points):
+    df, _ = points
+    whole = edges(VS.knn_lsh(df, "vec_id", "vector", 3, 0.5, bits=2))
+    assert edges(VS.knn_lsh(df, "vec_id", "vector", 3, 0.5, bits=2, block=7)) == whole
+
+
+def test_masks_leave_the_join_by_jaccard(spark):
+    """Pairs whose cosine reaches the bound but whose Jaccard does not are not handed on."""
+    rng = random.Random(8)
+    masks = {i: [float(rng.random() < 0.5) for _ in range(12)] for i in range(40)}
+    df = spark.createDataFrame([(i, v) for i, v in masks.items() if any(v)], "vec_id bigint, vector array<double>")
+    got = {(r["a"], r["b"]): r["sim"] for r in VS.unit_pairs(df, "vec_id", F.col("vector"), 0.4, pivots=4, block=8, jaccard=0.4).collect()}
+    assert got and min(got.values()) >= 0.4
+    for (a, b), sim in got.items():
+        both = sum(x * y for x, y in zip(masks[a], masks[b]))
+        assert sim == pytest.approx(both / (sum(masks[a]) + sum(masks[b]) - both), abs=1e-6)
