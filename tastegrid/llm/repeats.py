@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tastegrid.llm.common import bit_filter, has_bit, keep, parted
+from tastegrid.session import drop
 
 LENGTH = 200
 HASH = 16
@@ -133,31 +134,72 @@ def _phrases(rows: DataFrame, kind: str, seen: np.ndarray, length: int) -> DataF
              "runs array<struct<code: long, xa: long, xb: long, lo: int, hi: int>>")
 
 
-def _suffixes(contents: DataFrame, length: int, seen: np.ndarray | None = None) -> DataFrame:
-    """The strings that begin in each content of (text, todo): (wa, wb) 128-bit hash, xa, xb, off.
+def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """Where the list of each row begins and the last one ends, and fields of the structs in the lists."""
+    flat = column.flatten()
+    ends = column.offsets.to_numpy()
+    return ends - ends[0], *(flat.field(f).to_numpy() for f in fields)
 
-    With a filter, only those whose hash passes it.
-    """
-    shared = contents.sparkSession.sparkContext.broadcast(seen)
+
+def _pieces(contents: DataFrame, length: int) -> DataFrame:
+    """(piece, todo) of (text, todo): the bytes of the texts that contents hold, overlapping contents as one
+    piece. ``lo`` and ``hi`` count from the piece's begin. What no content holds is left behind."""
+    todo_type = pa.list_(pa.struct([("xa", pa.int64()), ("xb", pa.int64()), ("lo", pa.int32()),
+                                    ("hi", pa.int32()), ("n", pa.int64())]))
 
     def run(batches):
-        names = ["wa", "wb", "xa", "xb", "off"]
-        for b in _slices(batches, 64):
-            cols = [[], [], [], [], []]
+        for b in _slices(batches):
+            pieces, todos = [], []
             for text, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = memoryview(text.encode())
+                raw = text.encode()
+                todo.sort(key=lambda x: x["lo"])
+                begin = upto = -1
                 for x in todo:
-                    for i in range(x["lo"], x["hi"] + 1):
-                        wa, wb = _halves(raw[i:i + length])
-                        for c, v in zip(cols, (wa, wb, x["xa"], x["xb"], i - x["lo"])):
-                            c.append(v)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.int32())], names=names)
-            if shared.value is not None:
-                out = out.filter(pa.array(has_bit(shared.value, out.column(0).to_numpy())))
-            yield out
+                    if x["lo"] >= upto:
+                        if upto >= 0:
+                            pieces.append(raw[begin:upto])
+                        begin = x["lo"]
+                        todos.append([])
+                    upto = x["hi"] + length
+                    todos[-1].append(x | {"lo": x["lo"] - begin, "hi": x["hi"] - begin})
+                pieces.append(raw[begin:upto])
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array(todos, todo_type)],
+                                             names=["piece", "todo"])
+
+    return contents.select("text", "todo").mapInArrow(
+        run, "piece binary, todo array<struct<xa: long, xb: long, lo: int, hi: int, n: long>>")
+
+
+def _suffixes(pieces: DataFrame, length: int, seen: np.ndarray | None = None) -> DataFrame:
+    """The strings that begin in each content of (piece, todo): (wa, wb) 128-bit hash.
+
+    With a filter, only those whose hash passes it, and besides xa, xb, off: where in which content.
+    """
+    shared = pieces.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches):
+        digest = xxhash.xxh3_128_digest
+        for b in _slices(batches, 64):
+            ends, lo, hi, xa, xb = _lists(b.column(1), "lo", "hi", "xa", "xb")
+            hashes = []
+            for raw, first, last in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                for z, y in zip(lo[first:last].tolist(), hi[first:last].tolist()):
+                    hashes += [digest(raw[i:i + length]) for i in range(z, y + 1)]
+            w = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            wa, wb = w[:, 0].copy(), w[:, 1].copy()
+            if shared.value is None:
+                yield pa.RecordBatch.from_arrays([pa.array(wa), pa.array(wb)], names=["wa", "wb"])
+                continue
+            at = np.flatnonzero(has_bit(shared.value, wa))
+            n = hi - lo + 1
+            own = np.repeat(np.arange(len(n)), n)[at]  # the content of each string
+            off = at - (np.cumsum(n, dtype=np.int64) - n)[own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(wa[at]), pa.array(wb[at]), pa.array(xa[own]), pa.array(xb[own]),
+                 pa.array(off.astype(np.int32))], names=["wa", "wb", "xa", "xb", "off"])
 
-    return contents.select("text", "todo").mapInArrow(run, "wa long, wb long, xa long, xb long, off int")
+    return pieces.select("piece", "todo").mapInArrow(
+        run, "wa long, wb long" + ("" if seen is None else ", xa long, xb long, off int"))
 
 
 def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -175,6 +217,7 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = keep(_contexts(rows, length).groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                  .select("code"), "twice")
     texts = keep(_phrases(rows, kind, bit_filter(twice, "code", _bits(twice.count())), length), "phrases")
+    drop(twice)
 
     runs = texts.select("rid", F.explode("runs").alias("r")).select("rid", "r.*")
     contents = keep(runs.groupBy("code", "xa", "xb").agg(
@@ -185,22 +228,23 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("code"), "mixed")
     open_ = keep(contents.join(mixed, "code", "left_semi").select("xa", "xb", "n", "one.*"), "open")
 
-    def with_texts(some: DataFrame) -> DataFrame:
-        todo = some.select("rid", F.struct("xa", "xb", "lo", "hi").alias("x")).groupBy("rid").agg(
-            F.collect_list("x").alias("todo"))
-        # a repeated row has the same text under the same rid: one of them is enough
-        return texts.select("rid", "text").join(todo, "rid").dropDuplicates(["rid"])
+    todo = open_.select("rid", F.struct("xa", "xb", "lo", "hi", "n").alias("x")).groupBy("rid").agg(
+        F.collect_list("x").alias("todo"))
+    # a repeated row has the same text under the same rid: one of them is enough
+    pieces = keep(_pieces(texts.select("rid", "text").join(todo, "rid").dropDuplicates(["rid"]), length), "pieces")
 
-    shared = keep(_suffixes(with_texts(open_), length).groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("n"))
+    shared = keep(_suffixes(pieces, length).groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("n"))
                   .filter("n > 1").drop("n"), "shared")
     seen = bit_filter(shared, "wa", _bits(shared.count()))
+    once = pieces.withColumn("todo", F.filter("todo", lambda x: x["n"] == 1)).filter(F.size("todo") > 0)
     parts = (
-        _suffixes(with_texts(open_.filter("n = 1")), length, seen).join(shared, ["wa", "wb"], "left_semi")
+        _suffixes(once, length, seen).join(shared, ["wa", "wb"], "left_semi")
         .groupBy("xa", "xb").agg(F.collect_list("off").alias("offs"))
     )
     known = keep(
         contents.filter("n > 1").select("xa", "xb", F.lit(None).cast("array<int>").alias("offs"))
         .unionByName(parts), "known")
+    drop(contents, mixed, open_, pieces, shared)
     ranges = F.when(F.col("offs").isNull(), F.array(F.struct("lo", "hi"))).otherwise(
         F.transform("offs", lambda o: F.struct((F.col("lo") + o).alias("lo"), (F.col("lo") + o).alias("hi"))))
     starts = (
@@ -215,12 +259,10 @@ def _bits(n: int) -> int:
     return min(1 << 29, max(1 << 20, 1 << (16 * max(1, n) - 1).bit_length()))
 
 
-def cut_text(raw: bytes, starts: list[dict], length: int = LENGTH) -> tuple[bytes, int]:
+def cut_text(raw: bytes, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH) -> tuple[bytes, int]:
     """The text without the bytes that strings starting in the ranges cover, and the number of runs removed."""
-    depth = np.zeros(len(raw) + 1, np.int32)
-    if starts:
-        np.add.at(depth, [s["lo"] for s in starts], 1)
-        np.add.at(depth, [s["hi"] + length for s in starts], -1)
+    n = len(raw) + 1
+    depth = np.bincount(lo, minlength=n) - np.bincount(hi.astype(np.int64) + length, minlength=n)
     gone = np.cumsum(depth[:-1]) > 0
     begins = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), begins
@@ -233,9 +275,10 @@ def removed(texts: DataFrame, starts: DataFrame, length: int = LENGTH) -> DataFr
     def run(batches):
         for b in _slices(batches):
             kept, n, spans = [], [], []
-            for text, ranges in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            ends, lo, hi = _lists(b.column(3), "lo", "hi")
+            for text, first, last in zip(b.column(2).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 raw = text.encode()
-                rest, k = cut_text(raw, ranges, length)
+                rest, k = cut_text(raw, lo[first:last], hi[first:last], length)
                 kept.append(rest)
                 n.append(len(raw) - len(rest))
                 spans.append(k)
@@ -275,11 +318,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for b in _slices(batches):
             kept = []
-            for text, ranges in zip(b.column(1).to_pylist(), b.column(5).to_pylist()):
-                if ranges is None:
+            ends, lo, hi = _lists(b.column(5), "lo", "hi")  # no ranges: nothing was found
+            for text, first, last in zip(b.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                if first == last:
                     kept.append(text)
                 else:
-                    kept.append(cut_text((text or "").encode(), ranges, length)[0].decode(errors="ignore"))
+                    kept.append(cut_text((text or "").encode(), lo[first:last], hi[first:last], length)[0].decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), *b.columns[2:5]], names=columns)
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)

@@ -360,6 +360,21 @@ def test_repeats(spark, docs, texts, empty):
     assert len(kept) == len(texts) and kept[0] == ""
 
 
+def test_repeats_pieces(spark):
+    """Of a text only the bytes of its open contents go on, once where contents overlap."""
+    rng = random.Random(9)
+    text = "ü" + prose(rng, 600)
+    raw = text.encode()
+    todo = [{"xa": x, "xb": -x, "lo": lo, "hi": hi, "n": 1} for x, lo, hi in ((3, 1500, 1500), (1, 10, 40), (2, 41, 90))]
+    kind = "text string, todo array<struct<xa: long, xb: long, lo: int, hi: int, n: long>>"
+    pieces = repeats._pieces(spark.createDataFrame([(text, todo)], kind), 200)
+    assert sorted(bytes(r.piece) for r in pieces.collect()) == sorted([raw[10:290], raw[1500:1700]])
+    got = repeats._suffixes(pieces, 200, np.full(1 << 15, 255, np.uint8)).collect()
+    want = {(x["xa"], i - x["lo"]): repeats._halves(raw[i:i + 200]) for x in todo for i in range(x["lo"], x["hi"] + 1)}
+    assert len(got) == len(want) and {(r.xa, r.off): (r.wa, r.wb) for r in got} == want
+    assert {(r.wa, r.wb) for r in repeats._suffixes(pieces, 200).collect()} == set(want.values())
+
+
 def test_licenses(spark, docs, empty):
     rng = random.Random(6)
     rows = [(1, prose(rng, 80) + " " + licenses.TEMPLATES["GPL-3.0"] + " " + prose(rng, 500)),
