@@ -334,6 +334,18 @@ def test_byte_bpe(docs, texts, empty):
     assert bpe.digests(empty, path, public.PATTERN).count() == 0
 
 
+def test_packed_points():
+    """What a set takes to its trees: a few bits a group, with nothing lost, wide counts included."""
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 60, 500, 5000)]
+    sets.append(np.arange(70_000, dtype=np.uint64) << np.uint64(40))
+    for s in sets:
+        point = jaccard.point_of(s)
+        packed = jaccard._packed(point)
+        assert (jaccard._unpacked(packed, len(s)) == point).all()
+        assert len(s) < 500 or 2 * len(packed) < point.nbytes
+
+
 def test_repeats(spark, docs, texts, empty):
     rng = random.Random(8)
     passage = prose(rng, 60)
