@@ -187,7 +187,7 @@ pos AS (SELECT p.user_id, p.item_id, count(*) FILTER (WHERE q.s > p.s OR (q.s =
 SELECT count(*) AS n_users, {_HR} FROM pos""")
 def eval_loo_rank(spark, d):
     """Held-out item against 19 drawn items, scored from the user's own ratings."""
-    train, test = leave_one_out(spark, d)
+    train, test = leave_one_out(spark, d, ["user_id", "item_id", "rating"])
     pool = train.select("item_id").unionByName(test.select("item_id")).distinct()
     candidates = stage(P.negative_samples(test, pool, num_negatives=19), "candidates")
     pairs = candidates.select("user_id", "item_id").distinct()

@@ -84,6 +84,30 @@ def test_ratings_nearest_to_the_target(rated):
             assert got[(t["user_id"], t["item_id"], v)] == [i for i, _ in order[:2]]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_item_knn_sends_only_near_items_that_may_be_rated(spark, kind):
+    """User 0 has rated more items than a signature has bits, user 9 none, the others three of 900."""
+    rng = random.Random(4)
+    rows = [(0, i, float(i % 5 + 1)) for i in range(0, 900, 2)]
+    rows += [(u, i, float(rng.randint(1, 5))) for u in range(1, 9) for i in rng.sample(range(900), 3)]
+    near = {i: rng.sample([j for j in range(900) if j != i], 15) for i in range(900)}
+    train = spark.createDataFrame(rows, "user_id long, item_id long, rating double").withColumn("item_id", F.col("item_id").cast(kind))
+    edges = spark.createDataFrame([(a, b, (r + 1) / 16) for a, bs in near.items() for r, b in enumerate(bs)],
+                                  "a long, b long, sim double").select(F.col("a").cast(kind), F.col("b").cast(kind), "sim")
+    pairs = spark.createDataFrame([(u, i) for u in range(10) for i in range(0, 900, 7)], "user_id long, item_id long").withColumn(
+        "item_id", F.col("item_id").cast(kind))
+    got = N.predict_item_knn(train, pairs, edges)
+    rating = {(u, i): r for u, i, r in rows}
+    want = {}
+    for u in range(10):
+        for i in range(0, 900, 7):
+            own = [((r + 1) / 16, rating[u, b]) for r, b in enumerate(near[i]) if (u, b) in rating]
+            want[u, i] = sum(s * r for s, r in own) / sum(s for s, _ in own) if own else None
+    seen = {(r["user_id"], int(float(r["item_id"]))): r["prediction"] for r in got.collect()}
+    assert seen == {k: v if v is None else pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert ("getbit" in got._jdf.queryExecution().optimizedPlan().toString()) == (kind != "double")
+
+
 def test_similar_items_as_lists_and_by_pair(rated):
     """Few similar items are joined as a list, many looked up by pair, with the same rows."""
     train, test = rated

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window as W, functions as F
 
@@ -77,6 +78,33 @@ def test_lists_of_a_pair_meet_in_one_cell(skewed):
     assert met.groupBy("a", "b").count().exceptAll(want).count() == 0 and met.count() == want.agg(F.sum("count")).first()[0]
 
 
+def test_lists_of_a_plain_table_are_one_grouping(spark):
+    """No feature has several blocks and no key several cells: rows are grouped by feature once, joined with nothing."""
+    rows = spark.range(300).select(
+        (F.col("id") % 30).alias("key"), F.floor(F.col("id") / 10).alias("feature"), F.lit(1.0).alias("x"))
+    lists = pairs.cells(rows, ["x"])
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert lists.select(F.sum(F.size("b"))).first()[0] == 30 * 10 * 9 // 2
+    keys = {(r["a"], b) for r in lists.collect() for b in r["b"]}
+    assert all(a < b for a, b in keys) and lists.filter("size(b) <> size(b_x)").count() == 0
+
+
+def test_pairs_met_once_are_left_out_before_keys_are_numbered():
+    rng = np.random.default_rng(3)
+    b = [rng.choice(10**6, 50, replace=False) - 10**5 for _ in range(400)]
+    b[7][:5] = b[3][:5]  # rows 3 and 7 are of one key
+    own = np.arange(400)
+    own[7] = 3
+    cell = pa.table({"a": pa.array(own), "a_x": pa.array(own * 1.0), "b": pa.array(b), "b_x": pa.array([x * 2.0 for x in b])})
+    keys, left, right, sides = pairs._pairs_of(cell, ["x"], 2)
+    assert 10 <= len(left) < 0.5 * 400 * 50
+    order, first, n = pairs._by_pair(left, right, 2)
+    values = keys.to_numpy()
+    assert set(values[left[order]]) == {3} and sorted(values[right[order][first]]) == sorted(b[3][:5]) and set(n) == {2}
+    assert np.array_equal(sides["a_x"].to_numpy(), values[left]) and np.array_equal(sides["b_x"].to_numpy(), 2 * values[right])
+
+
 @pytest.fixture(scope="module")
 def zipf(spark):
     """300 keys over 200 features of very different popularity."""
