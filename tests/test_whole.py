@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tastegrid.operators import pairs, similarity as S
+from tastegrid.operators import blocktrain as BT, pairs, similarity as S, vectorsim as VS
 from tastegrid.plans import QUERIES
 
 
@@ -147,3 +147,57 @@ def test_slim_rows(spark):
     cell = pa.table({"a": pa.array([3], pa.int32()), "a_x": [1.0], "b": pa.array([[4, 9]], pa.list_(pa.int32())), "b_x": [[2.0, 3.0]]})
     keys, a, b, _ = pairs._pairs_of(cell, ["x"])
     assert keys is None and list(a) == [3, 3] and list(b) == [4, 9] and pairs._named(keys, b, "bigint").type == pa.int64()
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_masks_as_bits_against_brute_force(spark, block):
+    """All pairs of masks within the bound, copies with their least id, whatever the blocks."""
+    rng = np.random.default_rng(6)
+    masks = rng.random((90, 21)) < 0.4
+    masks[70:75], masks[80] = masks[3], False
+    df = spark.createDataFrame([(i * 5 % 97, [float(x) for x in m]) for i, m in enumerate(masks)], "vec_id long, mask array<double>")
+    least = {}
+    for i, m in enumerate(masks):
+        if m.any():
+            key = m.tobytes()
+            least[key] = min(least.get(key, 97), i * 5 % 97)
+    ids = sorted((v, np.frombuffer(k, bool)) for k, v in least.items())
+    want = {}
+    for n, (a, x) in enumerate(ids):
+        for b, y in ids[n + 1:]:
+            sim = round((x & y).sum() / (x | y).sum(), 6)
+            if sim >= 0.3:
+                want[a, b] = sim
+    want.update({(least[m.tobytes()], i * 5 % 97): 1.0 for i, m in enumerate(masks) if m.any() and least[m.tobytes()] != i * 5 % 97})
+    rows = VS.mask_pairs(df, "vec_id", "mask", 0.3, block=block).collect()
+    got = {(r["a"], r["b"]): r["sim"] for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and len(want) > 100
+    assert all(abs(got[p] - want[p]) < 2e-6 for p in want)
+
+
+def test_a_row_of_gradients_is_added_in_the_order_of_the_batch():
+    rng = np.random.default_rng(4)
+    for at in (rng.permutation(50)[:20], rng.integers(0, 6, 40)):
+        w, s, g = rng.normal(size=(50, 3)), rng.random((50, 3)), rng.normal(size=(len(at), 3))
+        total = np.zeros_like(w)
+        np.add.at(total, at, g)
+        hit = np.unique(at)
+        squares = s[hit] + total[hit] ** 2
+        want = w.copy()
+        want[hit] -= 0.1 * total[hit] / np.sqrt(squares)
+        kept = s.copy()
+        kept[hit] = squares
+        BT._descend(w, s, at, g, 0.1)
+        assert np.array_equal(w, want) and np.array_equal(s, kept)
+
+
+def test_packed_ratings_of_text_keys_in_one_shuffle(spark):
+    """Ratings meet lists of their blocks' keys: no join, each rating dealt once; labels other than 0 and 1 too."""
+    rows = spark.createDataFrame([(f"u{n % 37}", f"i{n % 11}", float(n % 3)) for n in range(800)], "user_id string, item_id string, label double")
+    sides = [BT._numbered(rows, k, 3, 1) for k in ("user_id", "item_id")]
+    packed = BT._packed_ratings(rows, *sides, BT.DEFAULT, "label", 3)
+    assert "Join" not in packed._jdf.queryExecution().executedPlan().toString()
+    names = [{(r["blk"], r["pos"]): r["id"] for r in side.collect()} for side in sides]
+    got = [(names[0][r["ub"], u], names[1][r["ib"], i], y) for r in packed.collect() for u, i, y in zip(
+        np.frombuffer(r["u"], np.int32).tolist(), np.frombuffer(r["i"], np.int32).tolist(), np.frombuffer(r["y"]).tolist())]
+    assert sorted(got) == sorted(map(tuple, rows.collect()))
