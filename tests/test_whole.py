@@ -201,3 +201,9 @@ def test_packed_ratings_of_text_keys_in_one_shuffle(spark):
     got = [(names[0][r["ub"], u], names[1][r["ib"], i], y) for r in packed.collect() for u, i, y in zip(
         np.frombuffer(r["u"], np.int32).tolist(), np.frombuffer(r["i"], np.int32).tolist(), np.frombuffer(r["y"]).tolist())]
     assert sorted(got) == sorted(map(tuple, rows.collect()))
+
+
+def test_missing_features_are_common_to_nobody(spark):
+    rows = spark.createDataFrame([(1, None, 2.0), (2, None, 3.0), (1, 5, 4.0), (2, 5, 1.0), (3, None, 1.0)],
+                                 "user_id long, item_id long, rating double")
+    assert [(r["a"], r["b"], r["n_common"]) for r in S.cosine(rows).collect()] == [(1, 2, 1)]
